@@ -1,0 +1 @@
+"""Intentionally empty: the workload is batch only (no watermarks, time windows or state)."""
