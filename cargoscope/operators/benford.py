@@ -6,7 +6,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cargoscope.functions.cleaning import add_all
@@ -91,25 +91,28 @@ _GRID = 1000  # p-value table resolution: steps of 1/1000 of the statistic
 
 
 def ks_statistic(values: DataFrame, key: str, value: str, test: str) -> DataFrame:
-    """sqrt(n) times the largest gap between observed and expected cumulative digit shares."""
-    digits = 1 if test == "first" else 2
+    """sqrt(n) times the largest gap between observed and expected cumulative digit shares.
+
+    Between two digits that occur the observed share is flat while the expected one grows, so
+    the gap peaks either at an occurring digit or just ahead of one.
+    """
+    lowest = min(expected_shares(test))
     counts = (
-        values.select(key, significant_digits(F.col(value), digits).alias("d"))
+        values.select(key, significant_digits(F.col(value), len(str(lowest))).alias("d"))
         .where("d is not null")
-        .groupBy(key)
-        .pivot("d", list(expected_shares(test)))
-        .count()
+        .groupBy(key, "d")
+        .agg(F.count("*").alias("c"))
     )
-    seen = expected = None
-    gaps = []
-    columns = [F.coalesce(F.col(str(d)), F.lit(0)) for d in expected_shares(test)]
-    total = add_all(columns)
-    for column, share in zip(columns, expected_shares(test).values(), strict=True):
-        seen = column if seen is None else seen + column
-        expected = share if expected is None else expected + share
-        gaps.append(F.abs(seen / F.col("n") - F.lit(expected)))
-    return counts.withColumn("n", total).select(
-        key, "n", (F.greatest(*gaps) * F.sqrt("n")).alias("statistic")
+    whole = Window.partitionBy(key)
+    upto = whole.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen, n = F.sum("c").over(upto), F.sum("c").over(whole)
+    ahead = F.abs((seen - F.col("c")) / n - F.log10(F.col("d") / lowest))
+    here = F.abs(seen / n - F.log10((F.col("d") + 1) / lowest))
+    return (
+        counts.select(key, n.alias("n"), F.greatest(ahead, here).alias("gap"))
+        .groupBy(key)
+        .agg(F.max("n").alias("n"), F.max("gap").alias("gap"))
+        .select(key, "n", (F.col("gap") * F.sqrt("n")).alias("statistic"))
     )
 
 

@@ -76,7 +76,7 @@ def price_change(release: DataFrame, strict: bool = False) -> DataFrame:
         release,
         ["ax_clnt_nbr", "class_cde", "msr_unit_tcde"],
         F.to_date("audt_ins_tstmp"),
-        [F.asc(c) for c in order],
+        order,
         "invoice_ppu",
         "_prev_ppu",
     )

@@ -40,7 +40,7 @@ def latest_version(df: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 
 def previous_value(
-    df: DataFrame, keys: list[str], block: Column, order: list[Column], value: str, out: str
+    df: DataFrame, keys: list[str], block: Column, order: list[str], value: str, out: str
 ) -> DataFrame:
     """Value of the previous row within a key, computed block by block.
 

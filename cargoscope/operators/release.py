@@ -185,7 +185,9 @@ def release_wide(x: dict[str, DataFrame], codes: DataFrame, descriptions: list[s
     afterwards. Here the latest version is found on the bare keys, every extract is reduced to
     one row at its own key level, and only then do they meet, one to one.
     """
-    goods = x["goods_source"].join(x["root"], list(DECLARATION_KEYS), "right")
+    # A root without goods gets nothing but its own columns, hence the mark in the joins.
+    marked = x["goods_source"].withColumn("_goods", F.lit(True))
+    goods = marked.join(x["root"], list(DECLARATION_KEYS), "right")
     newest = latest_version(goods, ITEM, "req_vers_nbr")
     sides = [
         (
@@ -215,9 +217,9 @@ def release_wide(x: dict[str, DataFrame], codes: DataFrame, descriptions: list[s
     ]
     out = newest
     for side, keys in sides:
-        out = out.join(side, list(keys), "left")
+        out = out.join(side.withColumn("_goods", F.lit(True)), [*keys, "_goods"], "left")
     one = keep_first(
-        out, RECORD_KEYS, [F.asc(c) for c in (*DECLARATION_KEYS, "cntry_orig_cde", "ste_orig_cde")]
+        out.drop("_goods"), RECORD_KEYS, [F.asc(c) for c in (*DECLARATION_KEYS, "cntry_orig_cde", "ste_orig_cde")]
     )
     return trim_columns(one, ["clnt_sply_req_id", "class_cde"])
 

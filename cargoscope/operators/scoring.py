@@ -197,18 +197,15 @@ def flag_combinations(df: DataFrame, labels: dict[str, str] = FLAG_LABELS) -> Da
 
 def flag_lift(df: DataFrame, labels: dict[str, str] = FLAG_LABELS) -> DataFrame:
     """Observed share of each combination over the share expected if its flags were independent."""
-    flags = list(labels)
-    rates = df.agg(*[F.avg(F.coalesce(c, F.lit(0))).alias(c) for c in flags])
-    rate_of = F.create_map(
-        *[x for c in flags for x in (F.lit(c), rates.select(c).scalar())]
-    )
-    parts = F.transform(F.split("flags", ", "), lambda c: rate_of[c])
-    expected = F.aggregate(parts, F.lit(1.0), lambda acc, p: acc * p)
-    return (
-        flag_combinations(df, labels)
-        .withColumn("expected_pct", expected)
-        .withColumn("lift", F.try_divide("pct", "expected_pct"))
+    rates = flag_rates(df, list(labels))
+    combos = flag_combinations(df, labels)
+    expected = (
+        combos.select("flags", F.explode(F.split("flags", ", ")).alias("flag"))
+        .join(rates, "flag")
+        .groupBy("flags")
+        .agg(F.product("flag_rate").alias("expected_pct"))
     )
+    return combos.join(expected, "flags").withColumn("lift", F.try_divide("pct", "expected_pct"))
 
 
 def rule_ml_overlap(profile: DataFrame, min_rules: int = 2) -> DataFrame:
