@@ -110,7 +110,7 @@ _EXPECTED1 = ", ".join(f"({d}, {math.log10(1 + 1 / d)!r})" for d in range(1, 10)
     FROM (SELECT t.bn_9, t.decl_ccy, t.n, e.p, COUNT(h.d) AS c FROM t CROSS JOIN e
         LEFT JOIN h ON h.bn_9 = t.bn_9 AND h.decl_ccy = t.decl_ccy AND h.d = CAST(e.d AS VARCHAR)
         GROUP BY t.bn_9, t.decl_ccy, t.n, e.d, e.p) t
-    GROUP BY ALL""",
+    GROUP BY t.bn_9, t.decl_ccy, t.n""",
 )
 def _(s):
     result = ben.benford_mad(
