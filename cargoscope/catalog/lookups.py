@@ -221,8 +221,7 @@ def _(s):
 
 @query("first_txn_value", "SELECT bn_9, first_txn_value_cad FROM {ind_txn}")
 def _(s):
-    dated = transactions(s).where("arrival_date is not null")
-    return dated.groupBy("bn_9").agg(ent.first_value_aggregate())
+    return ent.entity_txn_indicators(transactions(s)).select("bn_9", "first_txn_value_cad")
 
 
 @query(

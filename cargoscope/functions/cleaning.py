@@ -13,28 +13,26 @@ MISSING_MARKERS = ("", "NULL")
 TOTAL_PRICE_CODE = "66"
 PRICE_KINDS = ("Total", "PPU")
 
-_ISO_DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-
 
 def present(c: Column) -> Column:
     """True where the text holds a value (not null, blank or a missing marker)."""
     return c.isNotNull() & ~F.trim(c).isin(*MISSING_MARKERS)
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(present(c), F.trim(c))
-
-
 def clean_number(c: Column, dtype: str = "double") -> Column:
-    """Number held as text; missing markers, junk and NaN become null."""
-    value = blank_to_null(c.cast("string")).try_cast(dtype)
-    return F.when(~F.isnan(value), value) if dtype == "double" else value
+    """Number held as text; missing markers, junk and NaN become null.
+
+    A tolerant cast trims by itself and turns every marker into null.
+    """
+    value = c.cast("string").try_cast(dtype)
+    return F.nanvl(value, F.lit(None).cast("double")) if dtype == "double" else value
 
 
 def arrival_day(c: Column) -> Column:
     """Date from the first ten characters of a timestamp or its text form."""
     day = F.substring(c.cast("string"), 1, 10)
-    return F.when(day.rlike(_ISO_DAY), day.try_cast("date"))
+    # The cast alone would also take a bare year or month.
+    return F.when(F.length(day) == 10, day.try_cast("date"))
 
 
 def starts_with_digits(c: Column, n: int = 4, skip_blanks: bool = True) -> Column:

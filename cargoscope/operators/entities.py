@@ -71,12 +71,6 @@ def value_aggregates() -> list[Column]:
     ]
 
 
-def first_value_aggregate() -> Column:
-    """Value of the earliest dated transaction (ties: lowest id); null if that value is null."""
-    order = F.when(F.col("arrival_date").isNotNull(), F.struct("arrival_date", "clnt_sply_req_id"))
-    return F.min_by("txn_value_cad", order).alias("first_txn_value_cad")
-
-
 def entity_value_features(txn: DataFrame) -> DataFrame:
     return txn.groupBy("bn_9").agg(*value_aggregates())
 
@@ -149,27 +143,36 @@ def active_days(txn: DataFrame) -> DataFrame:
     days = (
         txn.where("arrival_date is not null")
         .groupBy("bn_9", "arrival_date")
-        .agg(F.count("*").alias("n_txn"), F.min("clnt_sply_req_id").alias("first_id"))
+        .agg(
+            F.count("*").alias("n_txn"),
+            F.min(F.struct("clnt_sply_req_id", "txn_value_cad")).alias("_first"),
+        )
     )
     history = Window.partitionBy("bn_9").orderBy("arrival_date")
-    return days.withColumn("prev_date", F.lag("arrival_date").over(history))
+    return days.select(
+        "bn_9",
+        "arrival_date",
+        "n_txn",
+        F.col("_first.clnt_sply_req_id").alias("first_id"),
+        F.col("_first.txn_value_cad").alias("first_value"),
+        F.lag("arrival_date").over(history).alias("prev_date"),
+    )
 
 
-def entity_gaps(txn: DataFrame) -> DataFrame:
-    """Longest gap in days between consecutive dated transactions; null for a single one."""
+def entity_txn_indicators(txn: DataFrame) -> DataFrame:
+    """Longest gap and first transaction value of importers with a dated transaction.
+
+    The gap is null for a single transaction; the first value goes by day, then by id.
+    """
     gap = F.datediff("arrival_date", "prev_date")
     same_day = F.when(F.col("n_txn") > 1, 0)
+    first_day = F.col("prev_date").isNull()
     return active_days(txn).groupBy("bn_9").agg(
-        F.max(F.coalesce(gap, same_day)).alias("max_gap_days")
+        F.max(F.coalesce(gap, same_day)).alias("max_gap_days"),
+        F.max(F.when(first_day, F.col("first_value"))).alias("first_txn_value_cad"),
     )
 
 
-def entity_txn_indicators(txn: DataFrame) -> DataFrame:
-    """Longest gap and first transaction value of importers with a dated transaction."""
-    first = txn.where("arrival_date is not null").groupBy("bn_9").agg(first_value_aggregate())
-    return null_safe_join(entity_gaps(txn), first, ["bn_9"])
-
-
 def gap_days(txn: DataFrame) -> DataFrame:
     """Days since the importer's previous transaction, for every dated transaction.
 

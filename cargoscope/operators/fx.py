@@ -7,19 +7,20 @@ join answers without moving the lines.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargoscope.session import small_side
+from cargoscope.session import BROADCAST_ROW_LIMIT
 
 
-def rate_calendar(fx: DataFrame) -> DataFrame:
-    """(ccy, rate_day, rate_to_cad) for every day from a currency's first rate to the last day known."""
-    last_day = fx.agg(F.max("fx_date").alias("d")).scalar()
-    by_day = Window.partitionBy("ccy").orderBy("fx_date")
-    until = F.coalesce(F.date_sub(F.lead("fx_date").over(by_day), 1), last_day)
+def rate_calendar(fx: DataFrame, last_day: date) -> DataFrame:
+    """(ccy, rate_day, rate_to_cad) for every day from a currency's first rate to ``last_day``."""
     # One rate per (currency, day); a repeated pair keeps its highest rate.
     daily = fx.groupBy("ccy", "fx_date").agg(F.max("rate_to_cad").alias("rate_to_cad"))
+    by_day = Window.partitionBy("ccy").orderBy("fx_date")
+    until = F.coalesce(F.date_sub(F.lead("fx_date").over(by_day), 1), F.lit(last_day))
     return daily.withColumn("until", until).select(
         "ccy", F.explode(F.sequence("fx_date", "until")).alias("rate_day"), "rate_to_cad"
     )
@@ -27,14 +28,22 @@ def rate_calendar(fx: DataFrame) -> DataFrame:
 
 def with_rate(df: DataFrame, fx: DataFrame, ccy: str, day: str) -> DataFrame:
     """Add ``rate_to_cad``; null where no rate was published by that day or the currency is unknown."""
-    last_day = fx.agg(F.max("fx_date").alias("d")).scalar()
-    calendar = rate_calendar(fx).select(
+    extent = fx.agg(
+        F.min("fx_date").alias("first"), F.max("fx_date").alias("last"), F.countDistinct("ccy").alias("n")
+    ).first()
+    if extent["last"] is None:
+        return df.withColumn("rate_to_cad", F.lit(None).cast(fx.schema["rate_to_cad"].dataType))
+    # The calendar cannot have more rows than currencies times days.
+    most_rows = extent["n"] * ((extent["last"] - extent["first"]).days + 1)
+    calendar = rate_calendar(fx, extent["last"]).select(
         F.col("ccy").alias("_ccy"), F.col("rate_day").alias("_day"), "rate_to_cad"
     )
+    if most_rows <= BROADCAST_ROW_LIMIT:
+        calendar = F.broadcast(calendar)
     # After the last published day every currency keeps its final rate.
-    lookup_day = F.when(F.col(day).isNotNull(), F.least(F.col(day), last_day))
+    lookup_day = F.when(F.col(day).isNotNull(), F.least(F.col(day), F.lit(extent["last"])))
     on = (F.col(ccy) == F.col("_ccy")) & (lookup_day == F.col("_day"))
-    return df.join(small_side(calendar), on, "left").drop("_ccy", "_day")
+    return df.join(calendar, on, "left").drop("_ccy", "_day")
 
 
 def distinct_pairs(lines: DataFrame) -> DataFrame:

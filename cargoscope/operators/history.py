@@ -64,7 +64,7 @@ def txn_value_zscore(txn: DataFrame, config: AnomalyConfig = AnomalyConfig()) ->
         F.avg("log_val").alias("_mean"),
         F.stddev_samp("log_val").alias("_sd"),
     )
-    context = null_safe_join(active_days(scored), stats, ["bn_9"]).drop("n_txn")
+    context = null_safe_join(active_days(scored), stats, ["bn_9"]).drop("n_txn", "first_value")
     since = F.when(
         F.col("clnt_sply_req_id") == F.col("first_id"), F.datediff("arrival_date", "prev_date")
     ).otherwise(0)

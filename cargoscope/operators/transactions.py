@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargoscope.config import RiskConfig
@@ -38,29 +38,41 @@ def txn_currency_profile(lines: DataFrame) -> DataFrame:
 def txn_value(lines: DataFrame, fx: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
     """One row per transaction: converted and declared value, currency marks and line counts.
 
-    Whether a transaction uses one currency or several follows from its lowest and highest code,
-    so one map-side-combined aggregate does it all: the lines shuffle once, on the transaction,
-    after shrinking to one partial row per transaction and task.
+    The lines first combine map-side, in a hash aggregate, into one row per transaction,
+    importer, currency and day, for nearly every transaction a single row. All lines of such a
+    row share one rate, so the rate join and the text comparisons run on the combined rows only.
     """
+    combined = (
+        parsed_lines(lines, config)
+        .groupBy("clnt_sply_req_id", "bn_9", "ccy", "arrival_date")
+        .agg(F.sum("price_val").alias("price_val"), F.count("*").alias("n_lines"))
+    )
+    rates = fx.withColumn("rate_to_cad", F.col("rate_to_cad").cast(config.rate_type))
+    # Lowest and highest code tell one currency from several.
     low, high = F.min("ccy"), F.max("ccy")
     one_currency = low == high
-    converted = F.col("price_val") * F.col("rate_to_cad")
+    unrated = F.when(F.col("rate_to_cad").isNull(), F.col("n_lines")).otherwise(0)
     return (
-        line_rate_join(lines, fx, config)
+        with_rate(combined, rates, "ccy", "arrival_date")
         .groupBy("clnt_sply_req_id")
         .agg(
             F.max("bn_9").alias("bn_9"),
             F.max("arrival_date").alias("arrival_date"),
-            F.sum(converted).cast("double").alias("txn_value_cad"),
+            F.sum(_converted(config)).cast("double").alias("txn_value_cad"),
             F.when(one_currency, F.sum("price_val")).cast("double").alias("txn_value_decl"),
             F.when(one_currency, high).alias("decl_ccy"),
             F.when(low < high, 1).otherwise(0).alias("is_mixed_ccy_txn"),
-            count_where(F.col("rate_to_cad").isNull()).alias("lines_fx_missing"),
-            F.count("*").alias("line_cnt"),
+            F.sum(unrated).alias("lines_fx_missing"),
+            F.sum("n_lines").alias("line_cnt"),
         )
     )
 
 
+def _converted(config: RiskConfig) -> Column:
+    value = F.col("price_val") * F.col("rate_to_cad")
+    return value if config.price_type == "double" else value.cast("decimal(38,12)")
+
+
 def txn_ccy_join(lines: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
     """Every typed line with its transaction's currency profile."""
     return parsed_lines(lines, config).join(txn_currency_profile(lines), "clnt_sply_req_id")

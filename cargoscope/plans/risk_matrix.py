@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from cargoscope.config import FLAG_LABELS, RiskConfig
 from cargoscope.operators.benford import deviation, digit_aggregates
 from cargoscope.operators.entities import (
-    entity_gaps,
     entity_line_profile,
-    first_value_aggregate,
+    entity_txn_indicators,
     value_aggregates,
 )
 from cargoscope.operators.keys import null_safe_join
@@ -56,13 +55,13 @@ MATRIX_COLUMNS = [
 
 
 def entity_txn_profile(txn: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
-    """Value figures, first value and all four digit tests from one pass over the transactions."""
+    """Value figures and all four digit tests from one hash aggregate over the transactions."""
     counts = [
         c
         for prefix, (value, test, _, _) in _DIGIT_TESTS.items()
         for c in digit_aggregates(value, test, f"_{prefix}_")
     ]
-    wide = txn.groupBy("bn_9").agg(*value_aggregates(), first_value_aggregate(), *counts)
+    wide = txn.groupBy("bn_9").agg(*value_aggregates(), *counts)
     added = {}
     for prefix, (_, test, _, _) in _DIGIT_TESTS.items():
         n, mad = deviation(f"_{prefix}_", test)
@@ -89,7 +88,7 @@ def entity_table(
     profile = entity_txn_profile(txn, config)
     line = entity_line_profile(lines, sections, basel, config)
     joined = null_safe_join(profile, line, ["bn_9"], "left")
-    joined = null_safe_join(joined, entity_gaps(txn), ["bn_9"], "left")
+    joined = null_safe_join(joined, entity_txn_indicators(txn), ["bn_9"], "left")
     return joined.withColumn("is_consolidator", F.coalesce("is_consolidator", F.lit(0)))
 
 

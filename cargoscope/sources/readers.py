@@ -16,6 +16,19 @@ def scan_parquet(spark: SparkSession, path: str, schema: StructType | None = Non
     return reader.parquet(path)
 
 
+def scan_spread(spark: SparkSession, path: str, key: str | None) -> DataFrame:
+    """Parquet scan whose rows are spread over all cores when the file has fewer splits than cores.
+
+    A file of one row group would otherwise leave all per-row work to one task. Large inputs have
+    splits in plenty and are read as they are.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if key is None or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def scan_lines(lines: DataFrame, row_filter: str = "1=1") -> DataFrame:
     """Lines under a SQL row predicate, e.g. one month for a trial run; it is pushed to the scan."""
     return lines.where(F.expr(row_filter))

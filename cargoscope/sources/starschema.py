@@ -11,7 +11,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cargoscope.session import materialise
 from cargoscope.sources import reference
+from cargoscope.sources.readers import scan_spread
 
 BASE_TABLES = (
     "region",
@@ -245,6 +247,11 @@ DERIVED: dict[str, str] = {
         FROM {order_entities} WHERE e % 7 <> 0 GROUP BY e""",
 }
 
+# Fact tables and the key their rows are spread on when the file has too few splits.
+SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+# Tables that many others derive from: written once per query, like the stored table they stand for.
+STAGED = {"decl_items"}
+
 _REFERENCE = re.compile(r"\{(\w+)\}")
 
 EXTRACT_NAMES = tuple(name[2:] for name in DERIVED if name.startswith("x_"))
@@ -270,9 +277,10 @@ class Star:
 
     def _build(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return scan_spread(self.spark, f"{self.folder}/{name}.parquet", SPREAD_KEYS.get(name))
         sql = DERIVED[name]
-        return self.spark.sql(sql, **{t: self[t] for t in needs(sql)})
+        table = self.spark.sql(sql, **{t: self[t] for t in needs(sql)})
+        return materialise(table) if name in STAGED else table
 
     @cached_property
     def fx(self) -> DataFrame:
