@@ -17,7 +17,7 @@ from cargoscope.catalog.settings import (
 )
 from cargoscope.operators import release as rel
 from cargoscope.operators.transactions import txn_value
-from cargoscope.session import materialise, shared_dir
+from cargoscope.session import materialise, shared_dir, small_side
 from cargoscope.sources import readers, reference, schemas, sinks
 
 MONTH = "actual_arrival_dttm >= '1998-03-01' and actual_arrival_dttm < '1998-04-01'"
@@ -145,9 +145,14 @@ def entity_ids(s):
     return readers.entity_ids(s["case_list"], "bn_number", EXCLUDED_ENTITIES)
 
 
+def listed_entities(s):
+    """The case list, written once and broadcast to every extract if short."""
+    return small_side(materialise(entity_ids(s)))
+
+
 def extracts(s) -> dict:
     """All extracts restricted to the case list."""
-    ids = entity_ids(s)
+    ids = listed_entities(s)
     kept = {n: rel.extract(df, ids, n) for n, df in s.extracts.items() if n != "root"}
     return kept | {"root": rel.extract_root(s["x_root"], ids, FIRST_DAY, LAST_DAY, OFFICE)}
 
@@ -181,12 +186,12 @@ def _(s):
 
 @query("extract_root_filter", "SELECT * FROM {k_root}")
 def _(s):
-    return rel.extract_root(s["x_root"], entity_ids(s), FIRST_DAY, LAST_DAY, OFFICE)
+    return rel.extract_root(s["x_root"], listed_entities(s), FIRST_DAY, LAST_DAY, OFFICE)
 
 
 @query("in_list_semi", "SELECT * FROM {k_price}")
 def _(s):
-    return rel.extract(s["x_price"], entity_ids(s), "price")
+    return rel.extract(s["x_price"], listed_entities(s), "price")
 
 
 @query("stage_table", "SELECT * FROM {txn}")

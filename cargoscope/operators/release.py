@@ -34,9 +34,8 @@ ADDRESS_LINES = ["addr_ln1", "addr_ln2", "addr_ln3"]
 
 
 def in_list(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of listed entities."""
-    listed = ids.select(F.col(ids.columns[0]).alias(column)).distinct()
-    return df.join(small_side(listed), column, "left_semi")
+    """Rows of listed entities. Pass ``small_side(ids)`` to keep the rows in place if the list is short."""
+    return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
 
 
 def project(df: DataFrame, keys, payload) -> DataFrame:
@@ -123,12 +122,17 @@ def party_column(value: str, description: str) -> str:
 
 
 def pivot_party_type(df: DataFrame, keys: list[str], descriptions: list[str]) -> DataFrame:
-    """Party rows -> seven columns per listed description, first non-null by party code."""
-    return df.groupBy(*keys).agg(
+    """Party rows -> seven columns per listed description, first non-null by party code.
+
+    The parties of one description first shrink to one row; the pivot then only places values.
+    """
+    position = F.struct("pty_code", "pty_id")
+    one = df.groupBy(*keys, "pty_tcde").agg(
+        *[_first_known(F.col(v), F.lit(True), position).alias(v) for v in PARTY_VALUES]
+    )
+    return one.groupBy(*keys).agg(
         *[
-            _first_known(F.col(v), F.col("pty_tcde") == d, F.struct("pty_code", "pty_id")).alias(
-                party_column(v, d)
-            )
+            F.max(F.when(F.col("pty_tcde") == d, F.col(v))).alias(party_column(v, d))
             for v in PARTY_VALUES
             for d in descriptions
         ]
@@ -185,10 +189,11 @@ def release_wide(x: dict[str, DataFrame], codes: DataFrame, descriptions: list[s
     afterwards. Here the latest version is found on the bare keys, every extract is reduced to
     one row at its own key level, and only then do they meet, one to one.
     """
-    # A root without goods gets nothing but its own columns, hence the mark in the joins.
     marked = x["goods_source"].withColumn("_goods", F.lit(True))
     goods = marked.join(x["root"], list(DECLARATION_KEYS), "right")
     newest = latest_version(goods, ITEM, "req_vers_nbr")
+    order = [F.asc(c) for c in (*DECLARATION_KEYS, "cntry_orig_cde", "ste_orig_cde")]
+    out = keep_first(newest, RECORD_KEYS, order)
     sides = [
         (
             _first_rows(
@@ -215,12 +220,16 @@ def release_wide(x: dict[str, DataFrame], codes: DataFrame, descriptions: list[s
         (_first_rows(x["shipment"], DECLARATION_KEYS, ["ttl_trans_val"]), DECLARATION_KEYS),
         (wide_parties(x["party"], codes, descriptions), DECLARATION_KEYS),
     ]
-    out = newest
     for side, keys in sides:
-        out = out.join(side.withColumn("_goods", F.lit(True)), [*keys, "_goods"], "left")
-    one = keep_first(
-        out.drop("_goods"), RECORD_KEYS, [F.asc(c) for c in (*DECLARATION_KEYS, "cntry_orig_cde", "ste_orig_cde")]
-    )
-    return trim_columns(one, ["clnt_sply_req_id", "class_cde"])
+        out = out.join(side, list(keys), "left")
+    # A root without goods gets nothing but its own columns.
+    declared = {
+        c: F.when(F.col("_goods"), F.col(c))
+        for side, keys in sides
+        if keys == DECLARATION_KEYS
+        for c in side.columns
+        if c not in keys
+    }
+    return trim_columns(out.withColumns(declared).drop("_goods"), ["clnt_sply_req_id", "class_cde"])
 
 
