@@ -118,10 +118,7 @@ _PAIR = """SELECT c.bn_9, c.n_distinct_dim AS n_countries, c.n_recent_new AS rec
 
 
 def _novelty_pairs(s):
-    lines = s["lines_core"]
-    return his.novelty_pair_join(
-        his.novelty(lines, "vendor_cntry_cde", ANOMALY), his.novelty(lines, "hs_chap_nbr", ANOMALY)
-    )
+    return his.novelty_pair_join(his.novelty_profile(s["lines_core"], plan.NOVELTY_DIMS, ANOMALY))
 
 
 @query("novelty_pair_join", _PAIR)

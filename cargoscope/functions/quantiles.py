@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cargoscope.operators.keys import null_safe_join
+
 ACCURACY = 10_000
 _MARGIN = 5.0 / ACCURACY
 
@@ -33,7 +35,7 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: s
     counts = values.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
     bracket = (
-        counts.join(sketch, keys)
+        null_safe_join(counts, sketch, keys)
         .groupBy(*keys)
         .agg(
             F.first("_n").alias("_n"),

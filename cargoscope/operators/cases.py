@@ -18,7 +18,7 @@ from cargoscope.functions.cleaning import (
 from cargoscope.functions.quantiles import named_quantiles
 from cargoscope.operators.benford import benford_ks
 from cargoscope.operators.keys import keep_first, previous_value
-from cargoscope.session import small_side
+from cargoscope.session import materialise, small_side
 
 # The percentile text of the precomputed indicators, a token, and the 13 indicators.
 TOP_QUARTILE_TEXT = "Above 75th percentile"
@@ -169,7 +169,7 @@ def natural_right_join(left: DataFrame, right: DataFrame) -> DataFrame:
 def goods_text_stats(df: DataFrame, column: str) -> DataFrame:
     """Tokens (words and single marks) and characters of the whole text; null counts as empty."""
     text = F.coalesce(column, F.lit(""))
-    tokens = F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+    tokens = F.regexp_count(text, F.lit(TOKEN))
     return df.withColumns({"tokens": tokens, "chars": F.char_length(text)})
 
 
@@ -195,12 +195,11 @@ def vague_description_share(
 def vague_bottom_quartile(df: DataFrame, column: str, q: float = 0.25) -> DataFrame:
     """Texts whose token count or length lies in the lowest quarter of all texts."""
     stats = goods_text_stats(df, column)
-    cut = named_quantiles(
-        stats, {"token_cut": (F.col("tokens"), q), "char_cut": (F.col("chars"), q)}
-    )
-    low = (F.col("tokens") <= cut.select("token_cut").scalar()) | (
-        F.col("chars") <= cut.select("char_cut").scalar()
-    )
+    # The quantile reads its input twice: keep two numbers per text rather than parse it again.
+    sizes = materialise(stats.select("tokens", "chars"))
+    wanted = {"token_cut": (F.col("tokens"), q), "char_cut": (F.col("chars"), q)}
+    cut = named_quantiles(sizes, wanted).first()
+    low = (F.col("tokens") <= cut["token_cut"]) | (F.col("chars") <= cut["char_cut"])
     return stats.withColumn("in_bottom_quartile", low)
 
 

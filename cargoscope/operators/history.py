@@ -17,6 +17,7 @@ from cargoscope.functions.cleaning import (
 from cargoscope.functions.quantiles import exact_quantile
 from cargoscope.operators.entities import active_days
 from cargoscope.operators.keys import null_safe_join
+from cargoscope.session import materialise
 
 
 def scorable(txn: DataFrame) -> DataFrame:
@@ -85,14 +86,18 @@ def txn_value_zscore(txn: DataFrame, config: AnomalyConfig = AnomalyConfig()) ->
 
 
 def value_z_robust(txn: DataFrame) -> DataFrame:
-    """(x - median) / MAD of the log value, the spread-resistant form of the value z-score."""
+    """(x - median) / MAD of the log value, the spread-resistant form of the value z-score.
+
+    The medians, one row per importer, are written before the deviations are taken from them:
+    the deviations are read three times.
+    """
     scored = scorable(txn).select("clnt_sply_req_id", "bn_9", "log_val")
-    medians = exact_quantile(scored, ["bn_9"], "log_val", 0.5, "median_log")
-    off = scored.join(medians, "bn_9").withColumn(
+    medians = materialise(exact_quantile(scored, ["bn_9"], "log_val", 0.5, "median_log"))
+    off = null_safe_join(scored, medians, ["bn_9"]).withColumn(
         "_dev", F.abs(F.col("log_val") - F.col("median_log"))
     )
     mads = exact_quantile(off, ["bn_9"], "_dev", 0.5, "mad_log")
-    return off.join(mads, "bn_9").select(
+    return null_safe_join(off, mads, ["bn_9"]).select(
         "clnt_sply_req_id",
         "bn_9",
         "median_log",
@@ -157,19 +162,19 @@ def is_recent(config: AnomalyConfig) -> Column:
     return F.col("dim_first") >= F.date_sub("ent_last", config.recent_window_days)
 
 
-def _novelty_counts(config: AnomalyConfig) -> list[Column]:
-    late = is_late(config)
-    return [
-        F.count("*").alias("n_distinct_dim"),
-        count_where(late).alias("n_late"),
-        count_where(late & is_recent(config)).alias("n_recent_new"),
-    ]
-
-
 def novelty(lines: DataFrame, dim: str, config: AnomalyConfig = AnomalyConfig()) -> DataFrame:
     """Distinct, late and recent-new values of one dimension per importer."""
-    rows = novelty_join(dim_first_seen(lines, dim), entity_span(lines))
-    return rows.groupBy("bn_9").agg(*_novelty_counts(config))
+    return single_novelty(novelty_profile(lines, {dim: "dim"}, config), "dim")
+
+
+def single_novelty(profile: DataFrame, suffix: str) -> DataFrame:
+    """One dimension's columns of a novelty profile, for importers that use the dimension."""
+    return profile.where(F.col(f"n_{suffix}") > 0).select(
+        "bn_9",
+        F.col(f"n_{suffix}").alias("n_distinct_dim"),
+        F.col(f"late_{suffix}").alias("n_late"),
+        F.col(f"recent_new_{suffix}").alias("n_recent_new"),
+    )
 
 
 def novelty_profile(
@@ -208,19 +213,14 @@ def novelty_profile(
     return rows.groupBy("bn_9").agg(*outs)
 
 
-def novelty_pair_join(countries: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Importers with a recent-new country or chapter."""
-    c = countries.select(
-        "bn_9",
-        F.col("n_distinct_dim").alias("n_countries"),
-        F.col("n_recent_new").alias("recent_new_countries"),
-    )
-    h = chapters.select(
-        "bn_9",
-        F.col("n_distinct_dim").alias("n_chapters"),
-        F.col("n_recent_new").alias("recent_new_chapters"),
-    )
-    return c.join(h, "bn_9").where("recent_new_countries > 0 or recent_new_chapters > 0")
+def novelty_pair_join(profile: DataFrame) -> DataFrame:
+    """Importers using both dimensions, with a recent-new country or chapter.
+
+    Both dimensions come from one profile, so the lines are read and shuffled once.
+    """
+    return profile.where(
+        "n_countries > 0 and n_chapters > 0 and (recent_new_countries > 0 or recent_new_chapters > 0)"
+    ).select("bn_9", "n_countries", "recent_new_countries", "n_chapters", "recent_new_chapters")
 
 
 def novelty_normalised(nov: DataFrame) -> DataFrame:

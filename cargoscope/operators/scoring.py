@@ -80,17 +80,18 @@ def typology_flags(entities: DataFrame, config: RiskConfig = RiskConfig()) -> Da
     ``entities`` is read for the cut-offs and again for the flags: pass a written table.
     """
     filled = coerce_fill_zero(entities, _ZERO_FILLED)
-    cut = percentile_thresholds(filled, config)
-    rules = typology_rules(config, cut)
+    # One row of three numbers, computed once and used as constants.
+    cut = percentile_thresholds(filled, config).first()
+    rules = typology_rules(config, cut.asDict())
     return weighted_flag_sum(filled.withColumns(rules), config.weights)
 
 
-def typology_rules(config: RiskConfig, cut: DataFrame) -> dict[str, Column]:
-    """Flag name -> 0/1 expression; the cut-offs enter as scalar subqueries."""
+def typology_rules(config: RiskConfig, cut: dict[str, float | None]) -> dict[str, Column]:
+    """Flag name -> 0/1 expression, given the cut-offs."""
 
     def at_least(column: str, threshold: str) -> Column:
         # Compared at nine decimals: a value equal to the cut-off must not depend on rounding noise.
-        return F.round(column, 9) >= F.round(cut.select(threshold).scalar(), 9)
+        return F.round(column, 9) >= F.round(F.lit(cut[threshold]).cast("double"), 9)
 
     share = F.greatest("importer_numbered_share", "vendor_numbered_share")
     regular = F.col("is_consolidator") == 0
