@@ -10,10 +10,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from cargoscope.functions.cleaning import signed_log1p
 from cargoscope.functions.quantiles import named_quantiles
 from cargoscope.session import materialise
 
+# The functions below run in executor processes that need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NODES = "tree int, node int, feature int, cut double, left_node int, right_node int, path double"
 
 
