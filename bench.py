@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
 import time
 
 from cargoscope.catalog import queries
@@ -35,7 +36,8 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session("bench", cpus)
+    shared = tempfile.mkdtemp(prefix="bench-")
+    spark = local_session("bench", cpus, **{"spark.checkpoint.dir": f"file://{shared}"})
     catalog = queries()
     # One untimed scan starts the JVM's code paths and the file-system caches.
     catalog["scan_lines"](spark, folder).write.format("noop").mode("overwrite").save()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +13,11 @@ BROADCAST_ROW_LIMIT = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stage tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local-master session without that
-    setting gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, the warehouse is used: the
+    one other folder that driver and executors share by definition.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="cargoscope-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from cargoscope.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", 8)
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared").as_uri()
+    session = local_session("tests", 8, **{"spark.checkpoint.dir": shared})
     yield session
     session.stop()
 
