@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargoscope.llm import op1_token_store, op2_packing
+from cargoscope.llm import (
+    op1_token_store,
+    op2_packing,
+    op3_minmax_dedup,
+    op8_token_counts,
+    op10_chat,
+)
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _CHECKS: dict[str, str] = {}
@@ -51,3 +57,19 @@ def token_store(spark: SparkSession, folder: str) -> DataFrame:
 def packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return op2_packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+@query("op3_minmax_dedup")
+def minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return op3_minmax_dedup.near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
+@query("op8_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return op8_token_counts.token_counts(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op10_chat")
+def chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = op10_chat.with_probe(table(spark, folder, "conversations"))
+    return op10_chat.format_chats(turns, full=False).drop("formatted", "loss_spans")
