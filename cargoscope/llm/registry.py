@@ -10,7 +10,12 @@ from cargoscope.llm import (
     op1_token_store,
     op2_packing,
     op3_minmax_dedup,
+    op4_repeats,
+    op5_language,
+    op6_line_dedup,
+    op7_decontaminate,
     op8_token_counts,
+    op9_quality,
     op10_chat,
 )
 
@@ -73,3 +78,31 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = op10_chat.with_probe(table(spark, folder, "conversations"))
     return op10_chat.format_chats(turns, full=False).drop("formatted", "loss_spans")
+
+
+@query("op4_repeats")
+def repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return op4_repeats.remove_repeats(table(spark, folder, "documents"), full=False)
+
+
+@query("op5_language")
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    return op5_language.identify(table(spark, folder, "documents"))
+
+
+@query("op6_line_dedup", sql=op6_line_dedup.lines_sql("documents"))
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return op6_line_dedup.dedup_lines(docs, min_chars=op6_line_dedup.MIN_CHARS)
+
+
+@query("op7_decontaminate", sql=op7_decontaminate.contamination_sql("documents"))
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = (table(spark, folder, name) for name in ("documents", "benchmark"))
+    return op7_decontaminate.contamination(docs, benchmark)
+
+
+@query("op9_quality")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = (table(spark, folder, name) for name in ("documents", "labels"))
+    return op9_quality.quality(docs, labels)
