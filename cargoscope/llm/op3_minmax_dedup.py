@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from cargoscope.llm.batches import bound_batches
 from cargoscope.llm.components import components
+from cargoscope.llm.joins import sized
 from cargoscope.llm.shingles import mix, odd_numbers, sets_of
 from cargoscope.session import materialise
 
@@ -73,11 +74,12 @@ def _signer(width: int, permutations: int, n_bands: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("th"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_digest(s) for s in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                    ["doc_id", "th", "n_shingles", "digest", "bands"],
                 )
 
     return sign
@@ -126,9 +128,9 @@ def near_duplicates(
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
     signed = materialise(
-        texts.mapInArrow(
+        texts.withColumn("th", F.xxhash64("text")).mapInArrow(
             _signer(width, permutations, n_bands),
-            f"doc_id {kind}, n_shingles long, digest binary, bands array<long>",
+            f"doc_id {kind}, th long, n_shingles long, digest binary, bands array<long>",
         )
     )
     # One node per shingle set, with a number of its own and its smallest document.
@@ -144,12 +146,34 @@ def near_duplicates(
     full = signed.where("n_shingles > 0").join(by_set, "digest")
     empty = signed.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return (
-        full.select("doc_id", "n_shingles", "component_id")
-        .unionByName(empty.select("doc_id", "n_shingles", "component_id"))
+        full.select("doc_id", "n_shingles", "component_id", "th")
+        .unionByName(empty.select("doc_id", "n_shingles", "component_id", "th"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "n_shingles", "component_id", "kept", "th")
     )
 
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one document of every component; rows without words all stay.
+
+    Of several rows with the component's key the one with the smallest text hash stays, once.
+    """
+    judged = materialise(near_duplicates(docs, **how))
+    chosen = judged.where("kept AND n_shingles > 0").groupBy("component_id").agg(F.min("th").alias("th"), F.count(F.lit(1)).alias("n"))
+    chosen = materialise(chosen.select(F.col("component_id").alias("c"), F.col("th").alias("t"), "n"))
+    same = F.col("component_id").eqNullSafe(F.col("c")) & F.col("kept") & (F.col("th") == F.col("t"))
+    gone = judged.where("n_shingles > 0").join(chosen, same, "left_anti").select("doc_id", "th").distinct()
+    gone = sized(materialise(gone))
+    hashed = docs.withColumn("_th", F.xxhash64("text"))
+    left = hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["doc_id"]) & (hashed["_th"] == gone["th"]), "left_anti")
+    if not chosen.where("n > 1").isEmpty():
+        # Rows with equal key and text: all but one go.
+        words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]"))
+        blank = F.coalesce(words, F.lit(0)) == 0
+        left = left.where(blank).unionByName(left.where(~blank).dropDuplicates(["doc_id", "_th"]))
+    return left.drop("_th")
+
+
 def _linked(nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """``(nid, component)`` of the nodes that have a link."""
     member = nodes.select("nid", "size", F.explode("bands").alias("band"))
