@@ -7,10 +7,12 @@ probability under 1e-10.
 
 Documents with the same shingle set are one node. Within a band, nodes are not paired with each
 other: rounds compare a few pivots with the members that are still in another component (the
-first pivot is the node that meets most others, later ones come from the smallest components), and
+first pivot is, of those with the fewest shingles of their own, the one that meets most others), and
 a pivot leaves its band afterwards. A band is done when what is left in it is one component, so
-every pair of a band is either compared on the full sets or already connected. Copies of one text
-then cost a comparison each, not one for every pair.
+every pair of a band is either compared on the full sets, already connected, or ruled out by an
+exact bound: shingles that one candidate alone has are in no intersection and in every union, and
+two sets have no more in common than the smaller of their counts in each class of shingles. Copies
+of one text then cost a comparison each, not one for every pair.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; a
 null key is nobody's component id unless all members' are null; rows with the same key and text
@@ -39,8 +41,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WIDTH = 5
 PERMUTATIONS = 64
 BANDS = 32
+#: Classes of shingles whose counts bound what two sets have in common.
+CLASSES = 64
 #: Pivots per band in the first, second, ... round; the last number holds from then on.
-PIVOTS = (1, 4, 16, 64, 256)
+PIVOTS = (1, 8, 64, 500)
 
 
 def signature(shingles: np.ndarray, permutations: int) -> np.ndarray:
@@ -90,8 +94,9 @@ def _set_writer(width: int):
         for batch in batches:
             for part, sets in sets_of(batch, width):
                 same = [_digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
-                held = pa.array([s.tobytes() for s in sets], pa.binary())
-                rows = pa.RecordBatch.from_arrays([part.column("nid"), held], ["nid", "shingles"])
+                held = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                spread = pa.array([np.bincount(s % CLASSES, minlength=CLASSES) for s in sets], pa.list_(pa.int32()))
+                rows = pa.RecordBatch.from_arrays([part.column("nid"), held, spread], ["nid", "shingles", "classes"])
                 yield rows.filter(pa.array(same))
 
     return write
@@ -102,7 +107,7 @@ def _checker(percent: int):
         for batch in batches:
             linked = []
             for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                a, b = (v.values.to_numpy().view(np.uint64) for v in (x, y))
                 at = np.searchsorted(b, a)
                 at[at == len(b)] = 0
                 common = int((b[at] == a).sum())
@@ -139,7 +144,7 @@ def near_duplicates(
         F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands")
     )
     nodes = materialise(nodes.withColumn("nid", F.monotonically_increasing_id()))
-    labels = _linked(nodes, texts, percent, width)
+    labels = _linked(nodes, texts, percent, width, n_bands)
     named = nodes.join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(least, "component").select("digest", "component_id")
@@ -174,52 +179,64 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     return left.drop("_th")
 
 
-def _linked(nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+def _linked(nodes: DataFrame, texts: DataFrame, percent: int, width: int, n_bands: int) -> DataFrame:
     """``(nid, component)`` of the nodes that have a link."""
-    member = nodes.select("nid", "size", F.explode("bands").alias("band"))
+    marks = F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int"))
+    member = nodes.select("nid", "size", marks.alias("marks"), F.posexplode("bands").alias("place", "band"))
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     meeting = materialise(member.join(shared, "band"))
     weight = meeting.groupBy("nid").agg(F.sum("n").alias("weight"))
-    waiting = materialise(meeting.join(weight, "nid").select("band", "nid", "size", "weight"))
+    waiting = meeting.join(weight, "nid").drop("n")
     wanted = nodes.join(weight, "nid").select("nid", "digest", "doc_id")
     sets = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("nid", "digest", "text")
-    sets = materialise(sets.mapInArrow(_set_writer(width), "nid long, shingles binary").dropDuplicates(["nid"]))
-    spark = nodes.sparkSession
-    labels = spark.createDataFrame([], "nid long, component long")
-    links = tried = spark.createDataFrame([], "a long, b long")
+    sets = materialise(sets.mapInArrow(_set_writer(width), "nid long, shingles array<long>, classes array<int>").dropDuplicates(["nid"]))
+    # Shingles that no other candidate has: no partner can share them.
+    own = sets.select("nid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"))
+    own = own.where("n = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("own"))
+    waiting = waiting.join(sets.select("nid", "classes"), "nid").join(own, "nid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    waiting = materialise(waiting.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")))
+    labels = nodes.sparkSession.createDataFrame([], "nid long, component long")
     for pivots in (*PIVOTS, *[PIVOTS[-1]] * 10_000):
-        sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-        state = (
-            waiting.join(labels, "nid", "left")
-            .withColumn("component", F.coalesce("component", "nid"))
-            .join(sizes, "component", "left")
-            .withColumn("members", F.coalesce("members", F.lit(1)))
+        state = waiting.join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+        spread = state.groupBy("band").agg(
+            F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("own").alias("least_own")
         )
-        spread = state.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-        state = materialise(state.join(spread.where("c0 != c1").select("band"), "band"))
+        # Out goes a band that is one component, and who has too little in common with all that is left.
+        state = state.join(spread.where("c0 != c1"), "band").where(
+            100 * F.expr("size - own") >= percent * F.expr("size + least_own")
+        )
+        state = materialise(state.drop("c0", "c1", "least_own"))
         if state.isEmpty():
             break
-        first = Window.partitionBy("band").orderBy("members", F.desc("weight"), "nid")
+        first = Window.partitionBy("band").orderBy("own", F.desc("weight"), "nid")
         chosen = state.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= pivots)
-        chosen = materialise(chosen.select("band", "nid", "size", "component"))
-        near = chosen.select("band", F.col("nid").alias("pivot"), F.col("size").alias("p_size"), F.col("component").alias("p_component"))
+        chosen = materialise(chosen.select("band", "nid", "size", "own", "marks", "classes", "component"))
+        near = chosen.select("band", *[F.col(c).alias(f"p_{c}") for c in ("nid", "size", "own", "marks", "classes", "component")])
+        # At most this much in common, at least this much together.
+        most = F.least(F.expr("size - own"), F.expr("p_size - p_own"))
+        least = F.greatest(F.expr("size + p_own"), F.expr("p_size + own"))
+        common = F.expr(" + ".join(f"least(classes[{i}], p_classes[{i}])" for i in range(CLASSES)))
+        # A pair is compared in the first band that it shares.
+        same = " ".join(f"WHEN marks[{i}] = p_marks[{i}] THEN {i}" for i in range(n_bands))
+        here = F.expr(f"CASE {same} END = place")
         pairs = (
             state.join(near, "band")
-            .where("nid != pivot AND component != p_component")
-            .where(100 * F.least("size", "p_size") >= percent * F.greatest("size", "p_size"))
-            .select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b"))
+            .where("nid != p_nid AND component != p_component")
+            .where(100 * most >= percent * least)
+            .where(here)
+            .where(100 * common >= percent * (F.expr("size + p_size") - common))
+            .select("nid", "p_nid", F.col("component").alias("a"), F.col("p_component").alias("b"))
             .distinct()
-            .join(tried, ["a", "b"], "left_anti")
         )
-        pairs = materialise(pairs)
         checked = (
-            pairs.join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("right")), "b")
-            .join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("left")), "a")
+            pairs.join(sets.select("nid", F.col("shingles").alias("left")), "nid")
+            .join(sets.select(F.col("nid").alias("p_nid"), F.col("shingles").alias("right")), "p_nid")
             .mapInArrow(_checker(percent), "a long, b long")
         )
-        tried, links = tried.unionByName(pairs), materialise(links.unionByName(checked))
-        labels = components(links).withColumnRenamed("node", "nid")
-        waiting = materialise(
-            state.select("band", "nid", "size", "weight").join(chosen.select("band", "nid"), ["band", "nid"], "left_anti")
-        )
+        # What is linked are components so far; their own components name all their members anew.
+        merged = components(checked).withColumnRenamed("component", "new")
+        old = labels.unionByName(merged.select(F.col("node").alias("nid"), F.col("node").alias("component"))).distinct()
+        old = old.join(merged, old["component"] == merged["node"], "left")
+        labels = materialise(old.select("nid", F.coalesce("new", "component").alias("component")).distinct())
+        waiting = state.join(chosen.select("band", "nid"), ["band", "nid"], "left_anti").drop("component")
     return labels
