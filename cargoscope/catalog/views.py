@@ -103,7 +103,7 @@ def _downup(c: str, keys: str, order: str) -> str:
     )
 
 
-_FILLED = ("class_cde", "dprt_dt", "itm_desc_txt", "invc_cntry_cde", "invc_st_cde")
+_FILLED = ("class_cde", "dprt_dt", "itm_desc_txt", "invc_cntry_cde", "invc_st_cde", "clnt_sply_req_id")
 _PARTY_COLUMNS = [f"{v}_{p.lower()}" for v in _PARTY_VALUES for p in _PARTIES]
 _CARRIED = (
     f"{_D}, cmrc_invc_nbr, gagi_nbr, gds_itm_nbr, clnt_sply_req_id, audt_ins_tstmp, ext_cus_clnt_id, "

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargoscope.functions.cleaning import PRICE_KINDS, joined_lines, price_kind
-from cargoscope.operators.keys import keep_first, latest_version
+from cargoscope.operators.keys import fill_down_up, keep_first, latest_version
 from cargoscope.session import small_side
 from cargoscope.sources.schemas import (
     DECLARATION_KEYS,
@@ -187,13 +187,21 @@ def release_wide(x: dict[str, DataFrame], codes: DataFrame, descriptions: list[s
 
     Parties, prices and repeated rows fan out against each other when joined first and reshaped
     afterwards. Here the latest version is found on the bare keys, every extract is reduced to
-    one row at its own key level, and only then do they meet, one to one.
+    one row at its own key level, and only then do they meet, one to one per declaration. A
+    submission may hold several declarations: prices and parties that its first one lacks come
+    from the next that has them, before one row per record is kept.
     """
     marked = x["goods_source"].withColumn("_goods", F.lit(True))
     goods = marked.join(x["root"], list(DECLARATION_KEYS), "right")
     newest = latest_version(goods, ITEM, "req_vers_nbr")
-    order = [F.asc(c) for c in (*DECLARATION_KEYS, "cntry_orig_cde", "ste_orig_cde")]
-    out = keep_first(newest, RECORD_KEYS, order)
+    rest = [c for c in DECLARATION_KEYS if c not in ITEM]
+    newest = fill_down_up(
+        newest, ITEM, rest, ["cntry_orig_cde", "ste_orig_cde"], ["clnt_sply_req_id"]
+    )
+    position = [*DECLARATION_KEYS, "cntry_orig_cde", "ste_orig_cde"]
+    order = [F.asc(c) for c in position]
+    other = [c for c in DECLARATION_KEYS if c not in RECORD_KEYS]
+    out = keep_first(newest, [*RECORD_KEYS, *other], order)
     sides = [
         (
             _first_rows(
@@ -230,6 +238,10 @@ def release_wide(x: dict[str, DataFrame], codes: DataFrame, descriptions: list[s
         for c in side.columns
         if c not in keys
     }
-    return trim_columns(out.withColumns(declared).drop("_goods"), ["clnt_sply_req_id", "class_cde"])
+    out = out.withColumns(declared).drop("_goods")
+    merged = ["invoice_total", "invoice_ppu"]
+    merged += [party_column(v, d) for v in PARTY_VALUES for d in descriptions]
+    record = _first_rows(out, RECORD_KEYS, position, tuple(merged))
+    return trim_columns(record, ["clnt_sply_req_id", "class_cde"])
 
 

@@ -139,7 +139,9 @@ DERIVED: dict[str, str] = {
         JOIN {{decl_orders}} o ON i.l_orderkey = o.o_orderkey""",
     "x_root": f"""
         SELECT {_D}, 'X' || CAST(o_custkey AS STRING) AS ext_cus_clnt_id,
-            ' ' || CAST(o_orderkey AS STRING) || ' ' AS clnt_sply_req_id, o_orderdate AS audt_ins_tstmp
+            CASE WHEN o_orderkey % 23 = 0 THEN NULL
+                WHEN o_custkey % 4 = 0 THEN ' S' || CAST(o_custkey AS STRING) || ' '
+                ELSE ' ' || CAST(o_orderkey AS STRING) || ' ' END AS clnt_sply_req_id, o_orderdate AS audt_ins_tstmp
         FROM {{decl_orders}}""",
     "x_goods_source": f"""
         SELECT {_I}, 'C' || LPAD(CAST(suppkey % 24 AS STRING), 2, '0') AS cntry_orig_cde,
@@ -166,11 +168,11 @@ DERIVED: dict[str, str] = {
         SELECT {_I}, CASE WHEN partkey % 13 = 0 THEN NULL ELSE '66 ' END AS price_tcde,
             price + CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS price_val,
             CASE o_orderkey % 2 WHEN 0 THEN 'CAD' ELSE 'USD' END AS price_crncy_cde
-        FROM {{decl_items}}
+        FROM {{decl_items}} WHERE o_orderkey % 7 <> 1
         UNION ALL
         SELECT {_I}, '65' AS price_tcde, price / qty AS price_val,
             CASE o_orderkey % 2 WHEN 0 THEN 'CAD' ELSE 'USD' END AS price_crncy_cde
-        FROM {{decl_items}} WHERE partkey % 13 <> 0""",
+        FROM {{decl_items}} WHERE partkey % 13 <> 0 AND o_orderkey % 7 <> 1""",
     "x_package_qty": f"""
         SELECT {_G}, 'BX' AS un_pkg_tcde, SUM(qty) AS qty FROM {{decl_items}} GROUP BY {_G}""",
     "x_invoice": f"""
@@ -210,7 +212,7 @@ DERIVED: dict[str, str] = {
             'Port ' || CAST(s_nationkey AS STRING) AS cty_nm, CAST(NULL AS STRING) AS pstl_zip_cde,
             CAST(NULL AS STRING) AS prov_st_cde,
             'C' || LPAD(CAST(s_nationkey AS STRING), 2, '0') AS cntry_cde
-        FROM (SELECT DISTINCT {_D}, suppkey FROM {{decl_items}}) d
+        FROM (SELECT DISTINCT {_D}, suppkey FROM {{decl_items}} WHERE o_orderkey % 7 <> 2) d
         JOIN {{supplier}} s ON d.suppkey = s.s_suppkey""",
     # -- case files ---------------------------------------------------------------------------
     "accounting": """
