@@ -333,13 +333,27 @@ def _(s):
     FROM st GROUP BY stage""",
 )
 def _(s):
+    return scoring.entity_count_reconcile(_stages(s))
+
+
+def _stages(s) -> dict:
     txn = written_transactions(s)
-    stages = {
+    return {
         "lines": ent.consolidators(s["lines"], RISK),
         "transactions": ent.entity_value_features(txn),
         "baselines": his.entity_baseline(txn).where(F.col("txn_cnt") >= ANOMALY.min_txns),
     }
-    return scoring.entity_count_reconcile(stages)
+
+
+@query(
+    "dropped_entities",
+    """WITH st AS (SELECT 'transactions' AS stage, bn_9 FROM {ent_value}
+        UNION ALL SELECT 'baselines', bn_9 FROM {baseline} WHERE txn_cnt >= 12)
+    SELECT n.stage, c.bn_9 FROM {cons} c CROSS JOIN (SELECT * FROM (VALUES ('transactions'), ('baselines')) v(stage)) n
+    WHERE NOT EXISTS (SELECT 1 FROM st x WHERE x.stage = n.stage AND x.bn_9 IS NOT DISTINCT FROM c.bn_9)""",
+)
+def _(s):
+    return scoring.dropped_entities(_stages(s))
 
 
 @query(
@@ -361,7 +375,6 @@ def _(s):
 )
 def _(s):
     counts = s["lines_core"].groupBy("bn_9").agg(F.count("*").alias("line_cnt"))
-    total = s["lines_core"].agg(F.count("*").alias("n")).scalar()
-    return counts.withColumn("share", F.col("line_cnt") / total)
+    return scoring.share_of_total(counts, "line_cnt")
 
 

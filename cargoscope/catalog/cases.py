@@ -63,6 +63,11 @@ def _(s):
     return ben.benford_ks(_values(s), "bn", "value", "first", CASES.ks_alpha)
 
 
+@query("benford_ks_first_two_flag")
+def _(s):
+    return ben.benford_ks(_values(s), "bn", "value", "first_two", CASES.ks_alpha)
+
+
 @query(
     "positional_bind",
     """SELECT a.bn, ROUND(a.statistic, 6) AS statistic_1st_digit, ROUND(b.statistic, 6) AS statistic_2nd_digit

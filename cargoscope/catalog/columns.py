@@ -216,7 +216,7 @@ def _(s):
     return scoring.weighted_flag_sum(s.spark.sql(_WEIGHT_FLAGS, orders=s["orders"]), _WEIGHTS)
 
 
-_TOKENS = r"CAST(LEN(REGEXP_EXTRACT_ALL({c}, '\w+|[^\w\s]')) AS INT)"
+_TOKENS = r"CAST(LEN(REGEXP_EXTRACT_ALL({c}, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')) AS INT)"
 
 
 @query(

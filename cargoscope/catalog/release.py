@@ -6,18 +6,23 @@ from pyspark.sql import functions as F
 
 from cargoscope.catalog.registry import query
 from cargoscope.catalog.scans import extracts
-from cargoscope.catalog.settings import PARTIES
 from cargoscope.catalog.views import _ITEM, _PARTIES, _PARTY_VALUES, RELEASE_COLUMNS
 from cargoscope.operators import keys
 from cargoscope.operators import release as rel
+from cargoscope.sources.reference import party_descriptions
 from cargoscope.sources.schemas import DECLARATION_KEYS, ITEM_KEYS
 
 ITEM = rel.ITEM
 
 
+def parties(s) -> list[str]:
+    """The descriptions of the party code table: a column group each."""
+    return sorted(r["description"] for r in party_descriptions(s.party_codes).collect())
+
+
 def released(s):
     """The wide records of the listed entities."""
-    wide = rel.release_wide(extracts(s), s.party_codes, PARTIES)
+    wide = rel.release_wide(extracts(s), s.party_codes, parties(s))
     return wide.select(*RELEASE_COLUMNS.split(", "))
 
 
@@ -128,7 +133,7 @@ _PIVOTED = ", ".join(
 def _(s):
     coded = s["x_party"].withColumn("pty_code", F.col("pty_tcde"))
     described = rel.concat_name_address(rel.party_description_join(coded, s.party_codes))
-    return rel.pivot_party_type(described, list(DECLARATION_KEYS), PARTIES)
+    return rel.pivot_party_type(described, list(DECLARATION_KEYS), parties(s))
 
 
 @query("release_wide", f"SELECT {RELEASE_COLUMNS} FROM {{released}}")

@@ -15,6 +15,7 @@ from cargoscope.catalog.settings import (
     OFFICE,
     RISK,
 )
+from cargoscope.catalog.views import RELEASE_COLUMNS
 from cargoscope.operators import release as rel
 from cargoscope.operators.transactions import txn_value
 from cargoscope.session import materialise, shared_dir, small_side
@@ -105,7 +106,7 @@ def _(s):
         *[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c) for c in schemas.ACCOUNTING.names]
     )
     sinks.write_csv(rows, path)
-    return readers.scan_csv(s.spark, path, schemas.ACCOUNTING)
+    return readers.scan_csv(s.spark, path, schemas.ACCOUNTING, line_breaks=True)
 
 
 PRECOMPUTED = {
@@ -205,15 +206,14 @@ def _(s):
     return sinks.stage_table(s.spark, root, "txn_value", build)
 
 
-@query("write_csv_release", "SELECT drv_req_nbr, cmrc_invc_nbr, gagi_nbr, gds_itm_nbr, invoice_total FROM {released}")
+@query("write_csv_release", f"SELECT {RELEASE_COLUMNS} FROM {{released}}")
 def _(s):
     from cargoscope.catalog.release import released
 
     path = _folder(s, "release-csv")
     out = released(s)
     sinks.write_csv(out, path)
-    read = readers.scan_csv(s.spark, path, out.schema, null_text="")
-    return read.select("drv_req_nbr", "cmrc_invc_nbr", "gagi_nbr", "gds_itm_nbr", "invoice_total")
+    return readers.scan_csv(s.spark, path, out.schema, null_text="", line_breaks=True)
 
 
 @query("write_case_matrix")

@@ -9,4 +9,3 @@ CASES = CaseConfig()
 FIRST_DAY, LAST_DAY, OFFICE = "1996-01-01", "2001-06-30", "911"
 EXCLUDED_ENTITIES = [100000003]
 EXCLUDED_TEXT = "100000003"
-PARTIES = ["BROKER", "IMPORTER", "VENDOR"]

@@ -382,7 +382,7 @@ VIEWS: dict[str, str] = {
         SELECT clnt_sply_req_id, CAST(ax_clnt_nbr AS VARCHAR) AS bn, itm_desc_txt FROM {released}
         UNION ALL SELECT proof_of_report_number, SUBSTR(exporter_bn15, 1, 9), cargo_description FROM {exports}""",
     "text_stats": r"""
-        SELECT *, CAST(LEN(REGEXP_EXTRACT_ALL(COALESCE(itm_desc_txt, ''), '\w+|[^\w\s]')) AS INT) AS tokens,
+        SELECT *, CAST(LEN(REGEXP_EXTRACT_ALL(COALESCE(itm_desc_txt, ''), '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s]')) AS INT) AS tokens,
             CAST(LENGTH(COALESCE(itm_desc_txt, '')) AS INT) AS chars
         FROM {texts}""",
     "vague": """

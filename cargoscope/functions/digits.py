@@ -33,7 +33,11 @@ def significant_digits(value: Column, count: int) -> Column:
     """Leading ``count`` significant digits as an integer; null for zero or null values.
 
     Works on the decimal text, so a value such as 0.3 gives 3 (or 30) whatever its binary form.
+    Values too large or too small for ten decimal places are read from their mantissa.
     """
-    text = F.abs(value).try_cast("decimal(38,10)").cast("string")
+    size = F.abs(value)
+    plain = F.when(size >= 1e-6, size.try_cast("decimal(38,10)")).cast("string")
+    mantissa = F.regexp_replace(size.cast("double").cast("string"), "E.*", "")
+    text = F.coalesce(plain, mantissa)
     digits = F.regexp_replace(F.regexp_replace(text, r"[^0-9]", ""), "^0+", "")
     return F.when(F.length(digits) > 0, F.rpad(F.substring(digits, 1, count), count, "0").cast("int"))

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+import sys
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoscope.functions.cleaning import add_all
 from cargoscope.functions.digits import expected_shares, integer_digit, significant_digits
-from cargoscope.session import small_side
+from cargoscope.session import materialise
+
+# The simulation runs in executor processes that need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _POSITION = {"first": 1, "second": 2}
 
@@ -86,8 +92,6 @@ def size_adjusted_threshold(test: str, sds: float = 3.0) -> Column:
 # -- Kolmogorov-Smirnov form ---------------------------------------------------------------
 
 _NULL_DRAWS = 10_000
-_NULL_SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 20, 30, 50, 75, 100, 200, 500, 1000, 5000)
-_GRID = 1000  # p-value table resolution: steps of 1/1000 of the statistic
 
 
 def ks_statistic(values: DataFrame, key: str, value: str, test: str) -> DataFrame:
@@ -116,25 +120,29 @@ def ks_statistic(values: DataFrame, key: str, value: str, test: str) -> DataFram
     )
 
 
-@lru_cache(maxsize=None)
-def _null_statistics(test: str, n: int, seed: int) -> np.ndarray:
-    """Sorted statistics of conforming samples of size ``n``."""
+def _p_values(test: str, seed: int):
+    """p-values of (n, statistic) pairs from conforming samples of exactly ``n`` values."""
     shares = np.array(list(expected_shares(test).values()))
-    rng = np.random.default_rng([seed, n, len(shares)])
-    draws = rng.multinomial(n, shares / shares.sum(), size=_NULL_DRAWS)
-    gaps = np.abs(np.cumsum(draws, axis=1) / n - np.cumsum(shares))
-    return np.sort(gaps.max(axis=1) * math.sqrt(n))
 
+    def null_statistics(n: int) -> np.ndarray:
+        rng = np.random.default_rng([seed, n, len(shares)])
+        draws = rng.multinomial(n, shares / shares.sum(), size=_NULL_DRAWS)
+        gaps = np.abs(np.cumsum(draws, axis=1) / n - np.cumsum(shares))
+        return np.sort(gaps.max(axis=1) * math.sqrt(n))
+
+    def look_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, null = None, None
+        for part in parts:
+            p = np.empty(len(part))
+            for n, rows in part.groupby("n").indices.items():
+                if n != last:
+                    last, null = n, null_statistics(int(n))
+                # Both sides take values on one lattice: the margin keeps equal ones equal.
+                reached = np.searchsorted(null, part["statistic"].to_numpy()[rows] - 1e-9)
+                p[rows] = 1.0 - reached / len(null)
+            yield part.assign(p_value=p)
 
-def null_table(spark: SparkSession, test: str, seed: int = 42) -> DataFrame:
-    """p-value by statistic step for a range of sample sizes: one fixed-size row per size."""
-    rows = []
-    for n in _NULL_SIZES:
-        stats = _null_statistics(test, n, seed)
-        steps = np.arange(0, int(stats[-1] * _GRID) + 2) / _GRID
-        p = 1.0 - np.searchsorted(stats, steps, side="left") / len(stats)
-        rows.append((n, p.tolist()))
-    return spark.createDataFrame(rows, "n_from int, p array<double>")
+    return look_up
 
 
 def benford_ks(
@@ -142,18 +150,16 @@ def benford_ks(
 ) -> DataFrame:
     """Statistic, simulated p-value and non-conformity mark per key.
 
-    The null distribution of the nearest tabulated sample size at or below ``n`` is used.
+    Each sample size that occurs is simulated on the executors, once per task that holds it; the
+    distinct (n, statistic) pairs are spread by range, so no size is bound to one task.
     """
-    stats = ks_statistic(values, key, value, test)
-    size = F.lit(_NULL_SIZES[0])
-    for n in _NULL_SIZES[1:]:
-        size = F.when(F.col("n") >= n, n).otherwise(size)
-    table = null_table(values.sparkSession, test, seed)
-    step = F.floor(F.col("statistic") * _GRID).cast("int")
-    looked_up = F.coalesce(F.get("p", step), F.lit(0.0))
+    stats = materialise(ks_statistic(values, key, value, test))
+    pairs = stats.select("n", "statistic").distinct()
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartitionByRange(parts, "n", "statistic").sortWithinPartitions("n", "statistic")
+    p_values = pairs.mapInPandas(_p_values(test, seed), "n long, statistic double, p_value double")
     return (
-        stats.withColumn("n_from", size)
-        .join(small_side(table), "n_from")
-        .select(key, "n", "statistic", looked_up.alias("p_value"))
+        stats.join(p_values, ["n", "statistic"])
+        .select(key, "n", "statistic", "p_value")
         .withColumn("does_not_conform", (F.col("p_value") <= alpha).cast("int"))
     )

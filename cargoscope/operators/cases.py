@@ -22,7 +22,7 @@ from cargoscope.session import materialise, small_side
 
 # The percentile text of the precomputed indicators, a token, and the 13 indicators.
 TOP_QUARTILE_TEXT = "Above 75th percentile"
-TOKEN = r"\w+|[^\w\s]"
+TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
 CASE_INDICATORS = [
     "miscalculations",
     "inconsistent_values",

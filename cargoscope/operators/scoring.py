@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from cargoscope.config import FLAG_LABELS, RULE_FLAGS, AnomalyConfig, RiskConfig
 from cargoscope.functions.cleaning import add_all, as_flag
 from cargoscope.functions.quantiles import named_quantiles
+from cargoscope.session import materialise
 
 
 def coerce_fill_zero(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -247,25 +249,48 @@ def entity_drilldown(scored: DataFrame, bn_9: str | Column, n: int = 25) -> Data
     return top_rows(rows, n, F.desc(F.round(F.abs("value_z"), 6)), "clnt_sply_req_id")
 
 
+def _stage_ids(stages: dict[str, DataFrame]) -> DataFrame:
+    """One row per entity id (null included) with a mark per stage that has it."""
+    parts = [df.select("bn_9", F.lit(i).alias("_stage")) for i, df in enumerate(stages.values())]
+    ids = reduce(DataFrame.unionByName, parts).groupBy("bn_9")
+    return ids.agg(*[F.max(F.col("_stage") == i).alias(f"_in{i}") for i in range(len(stages))])
+
+
 def entity_count_reconcile(stages: dict[str, DataFrame]) -> DataFrame:
     """Entities per stage, and how many of the first stage's ids each one lacks."""
-    first = next(iter(stages.values())).select("bn_9").distinct()
-    out = None
-    for name, df in stages.items():
-        ids = df.select("bn_9").distinct()
-        counts = ids.agg(F.lit(name).alias("stage"), F.count("*").alias("n_entities"))
-        lost = first.join(ids, "bn_9", "left_anti").agg(F.count("*").alias("n")).scalar()
-        row = counts.withColumn("n_dropped", lost)
-        out = row if out is None else out.unionByName(row)
-    return out
+    marks = _stage_ids(stages)
+    counted = marks.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("stage"),
+                    F.count_if(F.col(f"_in{i}")).alias("n_entities"),
+                    F.count_if(F.col("_in0") & ~F.col(f"_in{i}")).alias("n_dropped"),
+                )
+                for i, name in enumerate(stages)
+            ]
+        ).alias("rows")
+    )
+    return counted.select(F.inline("rows"))
+
+
+def dropped_entities(stages: dict[str, DataFrame]) -> DataFrame:
+    """The first stage's ids that each later stage lacks."""
+    lost = [
+        F.when(F.col("_in0") & ~F.col(f"_in{i}"), F.lit(name)) for i, name in enumerate(stages) if i
+    ]
+    named = _stage_ids(stages).select("bn_9", F.explode(F.array_compact(F.array(*lost))).alias("stage"))
+    return named.select("stage", "bn_9")
+
+
+def share_of_total(counts: DataFrame, count: str) -> DataFrame:
+    """Each row's share of the sum of a count column; the counts are written once and read twice."""
+    counts = materialise(counts)
+    total = counts.agg(F.sum(count).alias("n")).scalar()
+    return counts.withColumn("share", F.col(count) / total)
 
 
 def count_with_share(df: DataFrame, key: str) -> DataFrame:
     """Rows per key with their share of all rows, most first."""
-    total = df.agg(F.count("*").alias("n")).scalar()
-    return (
-        df.groupBy(key)
-        .agg(F.count("*").alias("n"))
-        .withColumn("share", F.col("n") / total)
-        .orderBy(F.desc("n"), key)
-    )
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    return share_of_total(counts, "n").orderBy(F.desc("n"), key)

@@ -16,7 +16,6 @@ from cargoscope.operators.history import (
     txn_anomaly_rollup,
     txn_value_zscore,
 )
-from cargoscope.operators.keys import null_safe_join
 from cargoscope.operators.scoring import anomaly_flags, coerce_fill_zero
 from cargoscope.session import materialise
 from cargoscope.sources.sinks import report_columns
@@ -73,7 +72,7 @@ def anomaly_rollup(
     ]
     out = entity_baseline(txn).select("bn_9", "txn_cnt", "std_log_val", "tenure_days")
     for part in parts:
-        out = null_safe_join(out, part, ["bn_9"], "left")
+        out = out.join(part, "bn_9", "left")
     counted = [
         "n_value_anom",
         "n_reactivation",

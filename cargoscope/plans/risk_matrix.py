@@ -12,7 +12,6 @@ from cargoscope.operators.entities import (
     entity_txn_indicators,
     value_aggregates,
 )
-from cargoscope.operators.keys import null_safe_join
 from cargoscope.operators.scoring import typology_flags
 from cargoscope.operators.transactions import txn_value
 from cargoscope.session import materialise
@@ -87,8 +86,7 @@ def entity_table(
     """Everything known per importer before flags: one pass over lines, two over transactions."""
     profile = entity_txn_profile(txn, config)
     line = entity_line_profile(lines, sections, basel, config)
-    joined = null_safe_join(profile, line, ["bn_9"], "left")
-    joined = null_safe_join(joined, entity_txn_indicators(txn), ["bn_9"], "left")
+    joined = profile.join(line, "bn_9", "left").join(entity_txn_indicators(txn), "bn_9", "left")
     return joined.withColumn("is_consolidator", F.coalesce("is_consolidator", F.lit(0)))
 
 

@@ -34,13 +34,23 @@ def scan_lines(lines: DataFrame, row_filter: str = "1=1") -> DataFrame:
     return lines.where(F.expr(row_filter))
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType, null_text: str = "null") -> DataFrame:
-    """CSV with a header, a fixed schema and a text that stands for null."""
+def scan_csv(
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    null_text: str = "null",
+    line_breaks: bool = False,
+) -> DataFrame:
+    """CSV with a header, a fixed schema and a text that stands for null.
+
+    ``line_breaks`` reads quoted texts with line breaks whole; a file is then one split.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("nullValue", null_text)
         .option("escape", '"')
+        .option("multiLine", line_breaks)
         .csv(path)
     )
 
