@@ -4,7 +4,8 @@ A line goes when an earlier line is equal to it or one edit away; lines under ``
 characters always stay. Order is (key, text hash, line number), null keys last.
 
 1. Equal lines are grouped by a 128-bit hash; the earliest occurrence owns the line.
-2. Lines one edit apart agree before and after a block of about ``BLOCK`` characters. Hashes of what
+2. Lines one edit apart agree before and after a block (about ``BLOCK`` characters, or a 64th of a
+   very long line). Hashes of what
    lies around each block, tagged with the longer line's length, find the lines that could have a
    partner; all others need no variants.
 3. Those lines emit every one-character deletion of the block as a hashed key. Lines that agree
@@ -26,34 +27,47 @@ from pyspark.sql import functions as F
 from cargoscope.llm.joins import same_doc, sized
 from cargoscope.session import materialise
 
-BLOCK = 128
+BLOCK, MAX_BLOCKS = 256, 64
 MIN_CHARS = 24
 
 _ORDER = ["no_key", "doc_id", "th", "pos"]
 
 
-def _blocks(line: Column, longer: int) -> Column:
-    """Around-the-block hashes for partners of this line when the longer of both has ``longer`` more.
+def _measured(df: DataFrame, line: str) -> DataFrame:
+    """The line's length and, for a partner of the same or one more character, block count and size.
 
-    Structs of hash, block number, and the characters before and after the block.
+    They are columns of their own, so that they are computed once and not for every block.
     """
-    n = F.length(line)
-    whole = n + F.lit(longer)
-    count = F.greatest(F.lit(2), F.ceil(whole / BLOCK).cast("int"))
-    size = F.ceil(whole / count).cast("int")
+    df = df.withColumn("_n", F.length(line))
+    counts = {
+        f"_count{k}": F.greatest(F.lit(2), F.least(F.ceil((F.col("_n") + k) / BLOCK), F.lit(MAX_BLOCKS))).cast("int")
+        for k in (0, 1)
+    }
+    df = df.withColumns(counts)
+    return df.withColumns({f"_size{k}": F.ceil((F.col("_n") + k) / F.col(f"_count{k}")).cast("int") for k in (0, 1)})
 
-    def around(j: Column) -> Column:
-        before = F.least(j * size, n)
-        after = F.greatest(F.lit(0), whole - (j + 1) * size)
-        parts = (F.substring(line, F.lit(1), before), F.substring(line, n - after + 1, after))
-        return F.struct(
-            F.xxhash64(whole, j, *parts).alias("around"),
-            before.cast("int").alias("before"),
-            after.cast("int").alias("after"),
-            F.lit(longer).alias("longer"),
-        )
 
-    return F.transform(F.sequence(F.lit(0), count - 1), around)
+def _blocks(line: str) -> Column:
+    """Around-the-block hashes of a measured line, for partners with ``longer`` more characters.
+
+    Structs of hash, the characters before and after the block, and ``longer``.
+    """
+
+    def sides(longer: int) -> Column:
+        def one(j: Column) -> Column:
+            before = F.least(j * F.col(f"_size{longer}"), F.col("_n"))
+            after = F.greatest(F.lit(0), F.col("_n") + longer - (j + 1) * F.col(f"_size{longer}"))
+            return F.struct(j.alias("j"), before.alias("before"), after.alias("after"), F.lit(longer).alias("longer"))
+
+        return F.transform(F.sequence(F.lit(0), F.col(f"_count{longer}") - 1), one)
+
+    def hashed(b: Column) -> Column:
+        lead = F.substring(F.col(line), F.lit(1), b["before"])
+        rest = F.substring(F.col(line), F.col("_n") - b["after"] + 1, b["after"])
+        around = F.xxhash64(F.col("_n") + b["longer"], b["j"], lead, rest)
+        return F.struct(around.alias("around"), b["before"].alias("before"), b["after"].alias("after"), b["longer"].alias("longer"))
+
+    return F.transform(F.concat(sides(0), sides(1)), hashed)
 
 
 def _earlier_neighbours(base: DataFrame, occurrences: DataFrame, owners: DataFrame) -> DataFrame:
@@ -74,8 +88,7 @@ def _earlier_neighbours(base: DataFrame, occurrences: DataFrame, owners: DataFra
         .distinct()
     )
     found = materialise(found)
-    blocks = F.explode(F.concat(_blocks(F.col("line"), 0), _blocks(F.col("line"), 1)))
-    each = found.withColumn("b", blocks).join(shared.withColumnRenamed("around", "_k"), F.col("b.around") == F.col("_k"), "left_semi")
+    each = _measured(found, "line").withColumn("b", F.explode(_blocks("line"))).join(shared.withColumnRenamed("around", "_k"), F.col("b.around") == F.col("_k"), "left_semi")
     middle = F.expr("substring(line, b.before + 1, length(line) - b.before - b.after)")
     each = each.select(F.struct(*_ORDER).alias("own"), "h1", "h2", "b", middle.alias("middle"))
     at = F.sequence(F.lit(1), F.length("middle"))
@@ -112,20 +125,13 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     base = docs.withColumns({"lines": F.split("text", "\n"), "th": F.xxhash64("text")})
     long_lines = F.filter("lines", lambda x: F.length(x) >= min_chars)
     firsts = F.transform(F.array_distinct(long_lines), lambda x: F.struct(F.array_position("lines", x).alias("p"), x.alias("line")))
-    around = F.transform(
-        F.concat(_blocks(F.col("o.line"), 0), _blocks(F.col("o.line"), 1)), lambda b: b["around"]
-    )
-    occurrences = (
-        base.select(F.isnull("doc_id").alias("no_key"), "doc_id", "th", F.explode(firsts).alias("o"))
-        .select(
-            "no_key",
-            "doc_id",
-            "th",
-            (F.col("o.p") - 1).cast("int").alias("pos"),
-            F.xxhash64("o.line").alias("h1"),
-            F.xxhash64(F.lit(6), "o.line").alias("h2"),
-            around.alias("blocks"),
-        )
+    found = base.select(F.isnull("doc_id").alias("no_key"), "doc_id", "th", F.explode(firsts).alias("o"))
+    found = found.select("no_key", "doc_id", "th", (F.col("o.p") - 1).cast("int").alias("pos"), "o.line")
+    occurrences = _measured(found, "line").select(
+        *_ORDER,
+        F.xxhash64("line").alias("h1"),
+        F.xxhash64(F.lit(6), "line").alias("h2"),
+        F.transform(_blocks("line"), lambda b: b["around"]).alias("blocks"),
     )
     occurrences = materialise(occurrences)
     places = occurrences.select("h1", "h2", F.struct(*_ORDER).alias("at"))
