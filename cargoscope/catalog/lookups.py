@@ -90,6 +90,11 @@ def _(s):
     return transactions(s)
 
 
+@query("txn_value_dedup", "SELECT * FROM {txn_now}")
+def _(s):
+    return tx.txn_value(keys.current_lines(s["lines_core"], "clnt_sply_req_id"), rates(s), RISK)
+
+
 @query(
     "txn_value_summary",
     """SELECT COUNT(*) AS n_transactions, COUNT(DISTINCT bn_9) AS n_entities,

@@ -390,3 +390,9 @@ VIEWS: dict[str, str] = {
             COUNT(*) AS row_count
         FROM {text_stats} GROUP BY bn""",
 }
+
+# The transaction table over each transaction's highest version only.
+VIEWS["lines_now"] = """
+    SELECT * FROM {lines} QUALIFY req_vers_nbr = MAX(req_vers_nbr) OVER (PARTITION BY clnt_sply_req_id)"""
+for _name, _source in (("base", "lines"), ("rated", "base"), ("txn", "rated")):
+    VIEWS[f"{_name}_now"] = VIEWS[_name].replace(f"{{{_source}}}", f"{{{_source}_now}}")

@@ -37,6 +37,8 @@ class RiskConfig:
     # set both to "double" for the faster, order-dependent arithmetic.
     price_type: str = "decimal(20,4)"
     rate_type: str = "decimal(12,8)"
+    # Key whose highest filed version counts, e.g. "clnt_sply_req_id"; None counts every version.
+    dedup_key: str | None = None
     weights: dict = field(default_factory=lambda: dict.fromkeys(FLAG_LABELS, 1.0))
 
 

@@ -129,6 +129,11 @@ def dedup_latest_version(lines: DataFrame, key: str = "clnt_sply_req_id") -> Dat
     return latest_version(numbered, [key], "_version").drop("_version")
 
 
+def current_lines(lines: DataFrame, key: str | None) -> DataFrame:
+    """The lines to count: all of them, or each key's highest version."""
+    return lines if key is None else dedup_latest_version(lines, key)
+
+
 def version_magnitude(lines: DataFrame, key: str = "clnt_sply_req_id") -> DataFrame:
     """Keys filed under more than one version, with the number of versions."""
     versions = F.countDistinct(clean_number(F.col("req_vers_nbr"), "int"))

@@ -12,6 +12,7 @@ from cargoscope.operators.entities import (
     entity_txn_indicators,
     value_aggregates,
 )
+from cargoscope.operators.keys import current_lines
 from cargoscope.operators.scoring import typology_flags
 from cargoscope.operators.transactions import txn_value
 from cargoscope.session import materialise
@@ -98,7 +99,12 @@ def risk_matrix(
     config: RiskConfig = RiskConfig(),
     txn: DataFrame | None = None,
 ) -> DataFrame:
-    """The scored matrix. ``txn`` may be a transaction table that is already written."""
+    """The scored matrix. ``txn`` may be a transaction table that is already written.
+
+    With ``config.dedup_key`` re-sent declarations count once, in transactions and line features.
+    """
+    if config.dedup_key:
+        lines = materialise(current_lines(lines, config.dedup_key))
     if txn is None:
         txn = materialise(txn_value(lines, fx, config))
     entities = materialise(entity_table(txn, lines, sections, basel, config))
