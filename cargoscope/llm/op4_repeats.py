@@ -348,7 +348,7 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, near, far = _unpack(v)
                 row.append(i)
                 pack.append(v)
-                whole.append(xxhash.xxh3_128_digest(data[a - far : a + LENGTH - near] + v.to_bytes(8)[-3:]))
+                whole.append(xxhash.xxh3_128_digest(data[a - far : a + LENGTH - near] + (v & 0xFFFFF).to_bytes(3)))
                 gram.append(xxhash.xxh64_intdigest(data[a : a + GRAM]) - (1 << 63))
         at = pa.array(row, pa.int64())
         yield pa.RecordBatch.from_arrays(
