@@ -29,16 +29,17 @@ import hashlib
 import sys
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargoscope.llm.batches import bound_batches
-from cargoscope.llm.joins import same_doc, sized
+from cargoscope.llm.joins import sized
 from cargoscope.llm.shingles import mix
 from cargoscope.session import materialise
 
@@ -377,27 +378,50 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def bucketed_texts(docs: DataFrame) -> DataFrame:
+    """The texts as bytes, dealt once to buckets by a row hash ``rid``.
+
+    Every later pass joins what was found on ``rid``; only the found side is shuffled then.
+    """
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    th = F.xxhash64("text")
+    rows = docs.select(_row_hash(th), "doc_id", th.alias("th"), F.col("text").cast("binary").alias("data"))
+    name = f"cargoscope_texts_{uuid4().hex}"
+    rows.repartition(buckets, "rid").write.bucketBy(buckets, "rid").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def _row_hash(th: Column) -> Column:
+    return F.xxhash64(F.isnull("doc_id"), "doc_id", th).alias("rid")
+
+
+def _joined(base: DataFrame, per_doc: DataFrame, found: str, how: str = "inner") -> DataFrame:
+    """Texts with what was found in them; equal row hashes of different rows do not match."""
+    keyed = per_doc.select(_row_hash(F.col("th")), F.col("doc_id").alias("_d"), F.col("th").alias("_t"), found)
+    same = (base["rid"] == keyed["rid"]) & base["doc_id"].eqNullSafe(keyed["_d"]) & (base["th"] == keyed["_t"])
+    return base.join(sized(keyed, F.size(found)), same, how).select(base["doc_id"], base["th"], base["data"], keyed[found])
+
+
 def _with_texts(base: DataFrame, found: DataFrame) -> DataFrame:
     """Texts with the packed anchors found in them, for a pass over the bytes."""
     per_doc = materialise(found.groupBy("doc_id", "th").agg(F.collect_set("pack").alias("packs")))
-    joined = base.join(sized(per_doc, F.size("packs")), same_doc(base, per_doc))
-    return joined.select(base["doc_id"], base["th"], base["data"], per_doc["packs"])
+    return _joined(base, per_doc, "packs")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, window``: repeated window starts as first * 1024 + (last - first)."""
-    bound_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("data"))
+def repeated_windows(base: DataFrame) -> DataFrame:
+    """``doc_id, th, window`` of bucketed texts: repeated window starts as first * 1024 + (last - first)."""
+    bound_batches(base.sparkSession)
+    kind = base.schema["doc_id"].dataType.simpleString()
     found = materialise(
-        base.mapInArrow(_anchor_rows, f"doc_id {kind}, th long, pack long, after long, before long")
+        base.select("doc_id", "th", "data").mapInArrow(_anchor_rows, f"doc_id {kind}, th long, pack long, after long, before long")
     )
     # Anchors with a half that occurs twice.
     halves = found.select("doc_id", "th", "pack", F.explode(F.array("after", "before")).alias("half")).where("half IS NOT NULL")
     twice = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     candidates = halves.join(twice, "half").select("doc_id", "th", "pack")
     # Sorted runs, and their merge.
-    run_kind = pa.schema([("doc_id", _arrow_type(docs))]).field(0).type
+    run_kind = pa.schema([("doc_id", _arrow_type(base))]).field(0).type
     shape = "side int, run long, entry int, n int, first binary, last binary, payload binary, "
     shape += f"doc_id {kind}, th long, pack long, after int, before int"
     runs = materialise(_with_texts(base, candidates).mapInArrow(_run_writer(run_kind), shape))
@@ -429,10 +453,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return whole.unionByName(single).distinct()
 
 
-def _arrow_type(docs: DataFrame) -> pa.DataType:
+def _arrow_type(base: DataFrame) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(docs.schema["doc_id"].dataType)
+    return to_arrow_type(base.schema["doc_id"].dataType)
 
 
 def _remover(full: bool):
@@ -469,9 +493,8 @@ def _remover(full: bool):
 def remove_repeats(docs: DataFrame, *, full: bool = True) -> DataFrame:
     """Per document what was removed, a digest of the remaining bytes, and those bytes (``full``)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    windows = repeated_windows(docs).groupBy("doc_id", "th").agg(F.collect_list("window").alias("windows"))
-    windows = materialise(windows)
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("data"))
-    joined = base.join(sized(windows, F.size("windows")), same_doc(base, windows), "left")
+    base = bucketed_texts(docs)
+    windows = repeated_windows(base).groupBy("doc_id", "th").agg(F.collect_list("window").alias("windows"))
+    joined = _joined(base, materialise(windows), "windows", "left")
     shape = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full
-    return joined.select(base["doc_id"], base["data"], windows["windows"]).mapInArrow(_remover(full), shape)
+    return joined.select("doc_id", "data", "windows").mapInArrow(_remover(full), shape)
