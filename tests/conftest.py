@@ -11,7 +11,8 @@ from cargoscope.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared").as_uri()
-    session = local_session("tests", 8, **{"spark.checkpoint.dir": shared})
+    folders = {"spark.checkpoint.dir": shared, "spark.sql.warehouse.dir": f"{shared}/warehouse"}
+    session = local_session("tests", 8, **folders)
     yield session
     session.stop()
 
