@@ -21,3 +21,14 @@ def sized(df: DataFrame, entries: Column | None = None, limit: int = BROADCAST_E
 def same_doc(left: DataFrame, right: DataFrame) -> Column:
     """Equal key (nulls equal) and equal text hash ``th``."""
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["th"] == right["th"])
+
+
+def hashed_sample(df: DataFrame, n: int, seed: int, *columns: str) -> DataFrame:
+    """At most ``n`` rows: those with the lowest hash of ``columns``.
+
+    A cut on the hash, from the row count, comes first: what is ordered then follows ``n``, and not
+    the number of tasks, each of which would otherwise hand on ``n`` rows.
+    """
+    hashed = df.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)))
+    share = min(1.0, 2.0 * n / max(df.count(), 1))
+    return hashed.where(F.col("_h") < int(share * (1 << 40))).orderBy("_h", *columns).limit(n).drop("_h")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargoscope.llm.batches import bound_batches
-from cargoscope.llm.joins import sized
+from cargoscope.llm.joins import hashed_sample, sized
 from cargoscope.llm.shingles import mix
 from cargoscope.session import materialise
 
@@ -327,8 +327,8 @@ def _longest(runs: DataFrame) -> DataFrame:
     splitters: list[list[bytes]] = [[], []]
     for side, size in held.items():
         parts = min(max(ranges, -(-size["n"] // RANGE_STRINGS)), SPLITTER_SAMPLE // 4)
-        seen = blocks.where(F.col("side") == side).select("first", F.xxhash64("run", "entry").alias("h"))
-        sample = sorted(bytes(r["first"]) for r in seen.orderBy("h", "first").limit(SPLITTER_SAMPLE).collect())
+        seen = blocks.where(F.col("side") == side).select("run", "entry", "first")
+        sample = sorted(bytes(r["first"]) for r in hashed_sample(seen, SPLITTER_SAMPLE, 4, "run", "entry").collect())
         splitters[side] = sorted({sample[len(sample) * i // parts] for i in range(1, parts)})
     dealt = blocks.mapInArrow(_splitter(splitters), "side int, part int, run long, entry int, n int, payload binary")
     merged = dealt.groupBy("side", "part").applyInPandas(_merger, "side int, run long, entry int, prefix int")
