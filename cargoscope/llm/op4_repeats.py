@@ -386,20 +386,25 @@ def bucketed_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     th = F.xxhash64("text")
-    rows = docs.select(_row_hash(th), "doc_id", th.alias("th"), F.col("text").cast("binary").alias("data"))
+    rows = docs.select(_row_hash(th), _row_hash(th, 1).alias("rid2"), "doc_id", th.alias("th"), F.col("text").cast("binary").alias("data"))
     name = f"cargoscope_texts_{uuid4().hex}"
     rows.repartition(buckets, "rid").write.bucketBy(buckets, "rid").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
-def _row_hash(th: Column) -> Column:
-    return F.xxhash64(F.isnull("doc_id"), "doc_id", th).alias("rid")
+def _row_hash(th: Column, seed: int = 0) -> Column:
+    return F.xxhash64(F.lit(seed), F.isnull("doc_id"), "doc_id", th).alias("rid")
 
 
 def _joined(base: DataFrame, per_doc: DataFrame, found: str, how: str = "inner") -> DataFrame:
-    """Texts with what was found in them; equal row hashes of different rows do not match."""
-    keyed = per_doc.select(_row_hash(F.col("th")), F.col("doc_id").alias("_d"), F.col("th").alias("_t"), found)
-    same = (base["rid"] == keyed["rid"]) & base["doc_id"].eqNullSafe(keyed["_d"]) & (base["th"] == keyed["_t"])
+    """Texts with what was found in them.
+
+    Rows match on two row hashes. Only the first is a join key, so that the buckets are used; the
+    second is compared as a difference, which is a plain condition.
+    """
+    keyed = per_doc.select(_row_hash(F.col("th")), _row_hash(F.col("th"), 1).alias("_check"), found)
+    check = base["rid2"].bitwiseXOR(keyed["_check"]) == 0
+    same = (base["rid"] == keyed["rid"]) & check
     return base.join(sized(keyed, F.size(found)), same, how).select(base["doc_id"], base["th"], base["data"], keyed[found])
 
 
