@@ -64,14 +64,14 @@ def test_near_duplicates_equal_brute_force(spark):
     docs = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, component_id int")
     got = op3_minmax_dedup.near_duplicates(docs).collect()
     order = lambda r: tuple((x is not None, x or 0) for x in r)
-    assert sorted(map(tuple, got), key=order) == sorted(brute(rows), key=order)
+    assert sorted((tuple(r)[:4] for r in got), key=order) == sorted(brute(rows), key=order)
 
 
 def test_near_duplicates_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert op3_minmax_dedup.near_duplicates(docs).count() == 0
     docs = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
-    assert {tuple(r) for r in op3_minmax_dedup.near_duplicates(docs).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
+    assert {tuple(r)[:4] for r in op3_minmax_dedup.near_duplicates(docs).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
 
 
 def test_components_of_chain_and_star(spark):
