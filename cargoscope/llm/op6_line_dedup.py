@@ -1,7 +1,8 @@
 """Line de-duplication within an edit bound of one character, by deletion neighbourhoods.
 
-A line goes when an earlier line is equal to it or one edit away; lines under ``min_chars``
-characters always stay. Order is (key, text hash, line number), null keys last.
+A line goes when an earlier line is equal to it or one edit away. Lines under ``min_chars``
+characters have no edits: by default they always stay, with ``short_repeats`` those that hold a word
+go when an earlier line is equal. Order is (key, text hash, line number), null keys last.
 
 1. Equal lines are grouped by a 128-bit hash; the earliest occurrence owns the line.
 2. Lines one edit apart agree before and after a block (about ``BLOCK`` characters, or a 64th of a
@@ -29,6 +30,8 @@ from cargoscope.session import materialise
 
 BLOCK, MAX_BLOCKS = 256, 64
 MIN_CHARS = 24
+#: A character that makes a line more than white space.
+WORD = r"[^\x20\x09-\x0D]"
 
 _ORDER = ["no_key", "doc_id", "th", "pos"]
 
@@ -120,18 +123,26 @@ def _earlier_neighbours(base: DataFrame, occurrences: DataFrame, owners: DataFra
     return verified.where(F.levenshtein("line", "earlier") <= 1).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with their remaining ``text``, and the columns ``n_lines`` and ``n_removed``."""
+def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
+    """``docs`` with their remaining ``text``, and the columns ``n_lines`` and ``n_removed``.
+
+    ``short_repeats``: exact repeats of lines under ``min_chars`` with a word go too.
+    """
+
+    def judged(x: Column) -> Column:
+        long_enough = F.length(x) >= min_chars
+        return long_enough | x.rlike(WORD) if short_repeats else long_enough
+
     base = docs.withColumns({"lines": F.split("text", "\n"), "th": F.xxhash64("text")})
-    long_lines = F.filter("lines", lambda x: F.length(x) >= min_chars)
-    firsts = F.transform(F.array_distinct(long_lines), lambda x: F.struct(F.array_position("lines", x).alias("p"), x.alias("line")))
+    judged_lines = F.filter("lines", judged)
+    firsts = F.transform(F.array_distinct(judged_lines), lambda x: F.struct(F.array_position("lines", x).alias("p"), x.alias("line")))
     found = base.select(F.isnull("doc_id").alias("no_key"), "doc_id", "th", F.explode(firsts).alias("o"))
     found = found.select("no_key", "doc_id", "th", (F.col("o.p") - 1).cast("int").alias("pos"), "o.line")
     occurrences = _measured(found, "line").select(
         *_ORDER,
         F.xxhash64("line").alias("h1"),
         F.xxhash64(F.lit(6), "line").alias("h2"),
-        F.transform(_blocks("line"), lambda b: b["around"]).alias("blocks"),
+        F.when(F.col("_n") >= min_chars, F.transform(_blocks("line"), lambda b: b["around"])).alias("blocks"),
     )
     occurrences = materialise(occurrences)
     places = occurrences.select("h1", "h2", F.struct(*_ORDER).alias("at"))
@@ -142,11 +153,11 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     per_doc = materialise(gone.groupBy("at.doc_id", "at.th").agg(F.collect_set("h1").alias("gone")))
     joined = base.join(sized(per_doc, F.size("gone")), same_doc(base, per_doc), "left")
     lost = F.coalesce("gone", F.array().cast("array<bigint>"))
-    repeats = F.size(long_lines) != F.size(F.array_distinct(long_lines))
-    stays = F.filter("lines", lambda x: (F.length(x) < min_chars) | ~F.array_contains(lost, F.xxhash64(x)))
+    repeats = F.size(judged_lines) != F.size(F.array_distinct(judged_lines))
+    stays = F.filter("lines", lambda x: ~judged(x) | ~F.array_contains(lost, F.xxhash64(x)))
     stays_once = F.filter(
         "lines",
-        lambda x, i: (F.length(x) < min_chars)
+        lambda x, i: ~judged(x)
         | (~F.array_contains(lost, F.xxhash64(x)) & (F.array_position("lines", x) == i + 1)),
     )
     kept = F.when(F.isnull("gone") & ~repeats, F.col("lines")).when(repeats, stays_once).otherwise(stays)
@@ -197,3 +208,39 @@ def lines_sql(documents: str) -> str:
     return f"""WITH {lines_ctes(documents)}
 SELECT r.doc_id, j.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
 FROM {documents} r LEFT JOIN joined j USING (doc_id)"""
+
+
+def all_lines_sql(documents: str, min_chars: int = MIN_CHARS) -> str:
+    """DuckDB query for ``dedup_lines`` with ``short_repeats`` on a table with unique keys."""
+    return f"""WITH raw AS (
+    SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM {documents}
+), lines AS (
+    SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM raw
+), owners AS (
+    SELECT line, min((doc_id, pos)) AS first FROM lines
+    WHERE length(line) >= {min_chars} OR regexp_matches(line, '{WORD}') GROUP BY line
+), cuts AS (
+    SELECT line, first, i, left(line, i - 1) || substr(line, i + 1) AS cut
+    FROM (SELECT * FROM owners WHERE length(line) >= {min_chars}), LATERAL (SELECT unnest(range(1, length(line) + 1)) AS i)
+), same_place AS (
+    SELECT length(line) AS n, i, cut, min(first) AS earliest FROM cuts GROUP BY ALL HAVING count(*) > 1
+), shorter AS (
+    SELECT c.line, c.first, o.line AS cut, o.first AS cut_first
+    FROM cuts c JOIN owners o ON o.line = c.cut WHERE length(o.line) >= {min_chars}
+), near AS (
+    SELECT c.line FROM cuts c JOIN same_place s
+        ON s.n = length(c.line) AND s.i = c.i AND s.cut = c.cut WHERE s.earliest < c.first
+    UNION
+    SELECT line FROM shorter WHERE cut_first < first
+    UNION
+    SELECT cut FROM shorter WHERE first < cut_first
+), judged AS (
+    SELECT l.doc_id, l.pos, l.line, o.line IS NULL OR (o.first = (l.doc_id, l.pos) AND n.line IS NULL) AS stays
+    FROM lines l LEFT JOIN owners o ON o.line = l.line LEFT JOIN near n ON n.line = l.line
+), joined AS (
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text,
+        count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed
+    FROM judged GROUP BY doc_id
+)
+SELECT r.doc_id, j.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM {documents} r LEFT JOIN joined j USING (doc_id)"""
