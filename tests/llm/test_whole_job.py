@@ -2,7 +2,7 @@
 
 import duckdb
 
-from cargoscope.llm import op6_line_dedup, registry
+from cargoscope.llm import op6_line_dedup, op9_quality, registry
 from tests.llm.test_text_operators import FOLDER, close, line_rows
 
 # --- lines -------------------------------------------------------------------------------------
@@ -45,3 +45,19 @@ def test_all_lines_equal_sql(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     rule = registry.queries()["op6_line_dedup"](spark, FOLDER).agg({"n_removed": "sum"}).first()[0]
     assert sum(r.n_removed for r in got) == rule + 74
+
+
+# --- quality -----------------------------------------------------------------------------------
+
+
+def test_one_anomaly_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(op9_quality, "SAMPLE_ROWS", 60)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(70)]
+    rows = [(i, " ".join(words[i % 7 :] + [f"end{i}"])) for i in range(2000)]
+    odd = {2000: "# | $ " * 20, 2001: "!? " * 40, 2002: "SHOUTING LOUDLY " * 1}
+    rows += [(k, " ".join(words) + " " + extra) for k, extra in odd.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    judged = {r.doc_id: r for r in op9_quality.quality(docs, labels).collect()}
+    assert not any(r.base_failed for r in judged.values())
+    assert {k for k, r in judged.items() if not r.kept} == odd.keys()
