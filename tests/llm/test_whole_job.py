@@ -61,3 +61,13 @@ def test_one_anomaly_beyond_the_sample(spark, monkeypatch):
     judged = {r.doc_id: r for r in op9_quality.quality(docs, labels).collect()}
     assert not any(r.base_failed for r in judged.values())
     assert {k for k, r in judged.items() if not r.kept} == odd.keys()
+
+
+def test_a_large_language_leaves_words_to_a_small_one(spark):
+    spell = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    many = " ".join(f"bad{spell(i)}" for i in range(1100))
+    rows = [(i, many if i < 10 else "good words", "en") for i in range(200)]
+    rows += [(200 + i, "malo peor" if i < 4 else "buenas palabras", "es") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = spark.createDataFrame([(i, 1, int(i < 10 or 200 <= i < 204)) for i in range(300)], "doc_id long, quality int, toxic int")
+    assert set(op9_quality.flagged_words(docs, sample)) == {*many.split(), "malo", "peor"}
