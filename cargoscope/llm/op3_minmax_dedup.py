@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cargoscope.llm.batches import bound_batches
 from cargoscope.llm.components import components
-from cargoscope.llm.joins import sized
+from cargoscope.llm.joins import same_doc, sized
 from cargoscope.llm.shingles import mix, odd_numbers, sets_of
 from cargoscope.session import materialise
 
@@ -141,8 +141,11 @@ def near_duplicates(
     # One node per shingle set, with a number of its own and its smallest document.
     real = signed.where("n_shingles > 0")
     nodes = real.groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands")
+        F.min(F.struct(F.isnull("doc_id").alias("no_key"), "doc_id", "th")).alias("least"),
+        F.max("n_shingles").alias("size"),
+        F.first("bands").alias("bands"),
     )
+    nodes = nodes.select("digest", "least.doc_id", "least.th", "size", "bands")
     nodes = materialise(nodes.withColumn("nid", F.monotonically_increasing_id()))
     labels = _linked(nodes, texts, percent, width, n_bands)
     named = nodes.join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
@@ -179,6 +182,12 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     return left.drop("_th")
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Each node's text: that of its member, and not of other rows with the member's key."""
+    hashed = texts.withColumn("th", F.xxhash64("text"))
+    return hashed.join(wanted, same_doc(hashed, wanted)).select("nid", "digest", "text")
+
+
 def _linked(nodes: DataFrame, texts: DataFrame, percent: int, width: int, n_bands: int) -> DataFrame:
     """``(nid, component)`` of the nodes that have a link."""
     marks = F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int"))
@@ -187,9 +196,8 @@ def _linked(nodes: DataFrame, texts: DataFrame, percent: int, width: int, n_band
     meeting = materialise(member.join(shared, "band"))
     weight = meeting.groupBy("nid").agg(F.sum("n").alias("weight"))
     waiting = meeting.join(weight, "nid").drop("n")
-    wanted = nodes.join(weight, "nid").select("nid", "digest", "doc_id")
-    sets = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("nid", "digest", "text")
-    sets = materialise(sets.mapInArrow(_set_writer(width), "nid long, shingles array<long>, classes array<int>").dropDuplicates(["nid"]))
+    wanted = nodes.join(weight, "nid").select("nid", "digest", "doc_id", "th")
+    sets = materialise(_texts_of(texts, wanted).mapInArrow(_set_writer(width), "nid long, shingles array<long>, classes array<int>").dropDuplicates(["nid"]))
     # Shingles that no other candidate has: no partner can share them.
     own = sets.select("nid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"))
     own = own.where("n = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("own"))

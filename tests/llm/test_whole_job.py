@@ -2,7 +2,7 @@
 
 import duckdb
 
-from cargoscope.llm import op6_line_dedup, op9_quality, registry
+from cargoscope.llm import op3_minmax_dedup, op6_line_dedup, op9_quality, registry
 from tests.llm.test_text_operators import FOLDER, close, line_rows
 
 # --- lines -------------------------------------------------------------------------------------
@@ -71,3 +71,23 @@ def test_a_large_language_leaves_words_to_a_small_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     sample = spark.createDataFrame([(i, 1, int(i < 10 or 200 <= i < 204)) for i in range(300)], "doc_id long, quality int, toxic int")
     assert set(op9_quality.flagged_words(docs, sample)) == {*many.split(), "malo", "peor"}
+
+
+# --- near duplicates ---------------------------------------------------------------------------
+
+
+def test_rows_of_one_key_are_not_multiplied(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(12)]
+    rows = [(None, t + end) for t in texts for end in ("", " more")] + [(5, t + " most") for t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fetch, fetched = op3_minmax_dedup._texts_of, []
+
+    def counted(texts, wanted):
+        out = fetch(texts, wanted)
+        fetched.append((out.count(), wanted.count()))
+        return out
+
+    monkeypatch.setattr(op3_minmax_dedup, "_texts_of", counted)
+    got = op3_minmax_dedup.near_duplicates(docs).collect()
+    assert [n for n, _ in fetched] == [n for _, n in fetched] == [36]
+    assert {r.component_id for r in got} == {5} and len(got) == 36
