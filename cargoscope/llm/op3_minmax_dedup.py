@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -188,6 +189,11 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return hashed.join(wanted, same_doc(hashed, wanted)).select("nid", "digest", "text")
 
 
+def _rounds() -> Iterator[int]:
+    """Pivots per band, round after round without end."""
+    return chain(PIVOTS, repeat(PIVOTS[-1]))
+
+
 def _linked(nodes: DataFrame, texts: DataFrame, percent: int, width: int, n_bands: int) -> DataFrame:
     """``(nid, component)`` of the nodes that have a link."""
     marks = F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int"))
@@ -204,7 +210,7 @@ def _linked(nodes: DataFrame, texts: DataFrame, percent: int, width: int, n_band
     waiting = waiting.join(sets.select("nid", "classes"), "nid").join(own, "nid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     waiting = materialise(waiting.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")))
     labels = nodes.sparkSession.createDataFrame([], "nid long, component long")
-    for pivots in (*PIVOTS, *[PIVOTS[-1]] * 10_000):
+    for pivots in _rounds():
         state = waiting.join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
         spread = state.groupBy("band").agg(
             F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("own").alias("least_own")

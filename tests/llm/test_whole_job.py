@@ -1,5 +1,7 @@
 """Cases that an earlier round left out of the job."""
 
+from itertools import islice
+
 import duckdb
 
 from cargoscope.llm import op3_minmax_dedup, op6_line_dedup, op9_quality, registry
@@ -91,3 +93,8 @@ def test_rows_of_one_key_are_not_multiplied(spark, monkeypatch):
     got = op3_minmax_dedup.near_duplicates(docs).collect()
     assert [n for n, _ in fetched] == [n for _, n in fetched] == [36]
     assert {r.component_id for r in got} == {5} and len(got) == 36
+
+
+def test_rounds_have_no_end():
+    assert list(islice(op3_minmax_dedup._rounds(), 5)) == [1, 8, 64, 500, 500]
+    assert next(islice(op3_minmax_dedup._rounds(), 50_000, None)) == 500
