@@ -24,6 +24,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from itertools import chain, repeat
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,10 @@ from cargoscope.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 5
-PERMUTATIONS = 64
+#: At least so many bands; as many as it takes for a pair at the similarity looked for to miss all
+#: with a probability under ``MISS``.
 BANDS = 32
+MISS = 1e-10
 #: Classes of shingles whose counts bound what two sets have in common.
 CLASSES = 64
 #: Pivots per band in the first, second, ... round; the last number holds from then on.
@@ -65,6 +68,20 @@ def bands(values: np.ndarray, n: int) -> np.ndarray:
     return mix((rows * odd_numbers(rows.shape[1], 73)).sum(axis=1, dtype=np.uint64) + np.arange(n, dtype=np.uint64))
 
 
+def bands_for(percent: int) -> int:
+    """Bands that pairs of at least ``percent`` need, for every number of shingles together.
+
+    Both ends of a permutation are shared with probability c (c - 1) / (u (u - 1)) at c shingles of u in
+    common. Sets that are equal, or have one shingle in common, are not counted.
+    """
+    least = (percent / 100) ** 4
+    for u in range(3, 1001):
+        c = -(-percent * u // 100)
+        if 1 < c < u:
+            least = min(least, (c * (c - 1) / (u * (u - 1))) ** 2)
+    return max(BANDS, ceil(log(MISS) / log1p(-least))) if 0 < least < 1 else BANDS
+
+
 def _digest(shingles: np.ndarray) -> bytes:
     import xxhash
 
@@ -123,13 +140,16 @@ def near_duplicates(
     *,
     percent: int = 85,
     width: int = WIDTH,
-    permutations: int = PERMUTATIONS,
-    n_bands: int = BANDS,
+    permutations: int | None = None,
+    n_bands: int | None = None,
 ) -> DataFrame:
     """Per document its set size, component and whether it stays.
 
-    Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets.
+    Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets. The
+    number of bands follows ``percent`` unless given, two permutations a band.
     """
+    n_bands = n_bands or (permutations // 2 if permutations else bands_for(percent))
+    permutations = permutations or 2 * n_bands
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")

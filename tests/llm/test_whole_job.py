@@ -98,3 +98,10 @@ def test_rows_of_one_key_are_not_multiplied(spark, monkeypatch):
 def test_rounds_have_no_end():
     assert list(islice(op3_minmax_dedup._rounds(), 5)) == [1, 8, 64, 500, 500]
     assert next(islice(op3_minmax_dedup._rounds(), 50_000, None)) == 500
+
+
+def test_bands_follow_the_similarity():
+    for percent, c, u in ((85, 6, 7), (80, 4, 5), (80, 800, 1000)):
+        n = op3_minmax_dedup.bands_for(percent)
+        assert (1 - (c * (c - 1) / (u * (u - 1))) ** 2) ** n < 1e-10
+    assert op3_minmax_dedup.bands_for(80) > op3_minmax_dedup.bands_for(85) >= op3_minmax_dedup.bands_for(99) == 32
