@@ -17,6 +17,7 @@ from cargoscope.llm import (
     op8_token_counts,
     op9_quality,
     op10_chat,
+    op13_mixing,
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +113,8 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = (table(spark, folder, name) for name in ("documents", "labels"))
     return op9_quality.quality(docs, labels)
+
+
+@query("op13_mixing", sql=op13_mixing.mixing_sql("documents"))
+def mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return op13_mixing.mix(table(spark, folder, "documents"))
