@@ -17,6 +17,7 @@ from cargoscope.llm import (
     op8_token_counts,
     op9_quality,
     op10_chat,
+    op12_spelling,
     op13_mixing,
 )
 
@@ -115,6 +116,11 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
     return op9_quality.quality(docs, labels)
 
 
+@query("op12_spelling")
+def spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return op12_spelling.spelling_variants(table(spark, folder, "documents"))
+
+
 @query("op13_mixing", sql=op13_mixing.mixing_sql("documents"))
 def mixing(spark: SparkSession, folder: str) -> DataFrame:
     return op13_mixing.mix(table(spark, folder, "documents"))
