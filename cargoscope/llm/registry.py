@@ -17,6 +17,7 @@ from cargoscope.llm import (
     op8_token_counts,
     op9_quality,
     op10_chat,
+    op11_prefix_trie,
     op12_spelling,
     op13_mixing,
 )
@@ -116,6 +117,12 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
     return op9_quality.quality(docs, labels)
 
 
+@query("op11_prefix_trie")
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = op11_prefix_trie.rebuilt(table(spark, folder, "conversations"), heads=4, apart=20)
+    return op11_prefix_trie.prefix_trie(turns)
+
+
 @query("op12_spelling")
 def spelling(spark: SparkSession, folder: str) -> DataFrame:
     return op12_spelling.spelling_variants(table(spark, folder, "documents"))
