@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from cargoscope.catalog.registry import query
@@ -11,7 +13,8 @@ from cargoscope.catalog.settings import CASES
 from cargoscope.operators import benford as ben
 from cargoscope.operators import cases
 from cargoscope.plans.case_matrix import case_matrix
-from cargoscope.session import materialise
+from cargoscope.session import materialise, shared_dir
+from cargoscope.sources.sinks import write_parquet
 
 _NUMBERED = "CAST(REGEXP_MATCHES(importer_name, '^[0-9][0-9][0-9][0-9]') AS INT)"
 
@@ -58,14 +61,23 @@ def _(s):
     return stats.withColumn("statistic", F.round("statistic", 6))
 
 
-@query("benford_ks")
+_KS_SQL = """SELECT bn, n, ROUND(statistic, 6) AS statistic, ROUND(p_value, 6) AS p_value,
+    CAST(p_value <= 0.05 AS INT) AS does_not_conform FROM """
+
+
+def _ks_result(s, test: str):
+    found = ben.benford_ks(_values(s), "bn", "value", test, CASES.ks_alpha)
+    return found.withColumns({c: F.round(c, 6) for c in ("statistic", "p_value")})
+
+
+@query("benford_ks", _KS_SQL + "{ksp1}")
 def _(s):
-    return ben.benford_ks(_values(s), "bn", "value", "first", CASES.ks_alpha)
+    return _ks_result(s, "first")
 
 
-@query("benford_ks_first_two_flag")
+@query("benford_ks_first_two_flag", _KS_SQL + "{ksp2}")
 def _(s):
-    return ben.benford_ks(_values(s), "bn", "value", "first_two", CASES.ks_alpha)
+    return _ks_result(s, "first_two")
 
 
 @query(
@@ -123,7 +135,7 @@ def _(s):
 
 @query("price_miscalculation", "SELECT bn, 1 AS miscalculations FROM {miscalc}")
 def _(s):
-    return ints(cases.price_miscalculation(released(s), CASES.price_tolerance), "miscalculations")
+    return ints(cases.price_miscalculation(released(s, *cases.MISCALCULATION_COLUMNS), CASES.price_tolerance), "miscalculations")
 
 
 @query(
@@ -132,7 +144,7 @@ def _(s):
     WHERE prev_ppu - invoice_ppu IS NOT NULL""",
 )
 def _(s):
-    return ints(cases.price_change(materialise(released(s))), "inconsistent_values")
+    return ints(cases.price_change(materialise(released(s, *cases.PRICE_CHANGE_COLUMNS))), "inconsistent_values")
 
 
 @query(
@@ -141,7 +153,7 @@ def _(s):
     WHERE prev_ppu - invoice_ppu <> 0""",
 )
 def _(s):
-    return ints(cases.price_change(materialise(released(s)), strict=True), "inconsistent_values")
+    return ints(cases.price_change(materialise(released(s, *cases.PRICE_CHANGE_COLUMNS)), strict=True), "inconsistent_values")
 
 
 @query(
@@ -149,7 +161,7 @@ def _(s):
     """SELECT bn, prop_vague, row_count, CAST(prop_vague >= 0.05 AS INT) AS has_vague_descriptions FROM {vague}""",
 )
 def _(s):
-    texts = cases.trade_texts(released(s), s["exports"])
+    texts = cases.trade_texts(released(s, *cases.TEXT_COLUMNS), s["exports"])
     share = cases.vague_description_share(texts, "bn", "itm_desc_txt", CASES)
     return ints(share, "has_vague_descriptions")
 
@@ -166,7 +178,7 @@ def _(s):
     flagged = cases.company_flag_joins(
         cases.numbered_company_flag(s["accounting"]),
         [
-            cases.price_miscalculation(released(s), CASES.price_tolerance),
+            cases.price_miscalculation(released(s, *cases.MISCALCULATION_COLUMNS), CASES.price_tolerance),
             cases.high_risk_entities(s["accounting"], s.basel, CASES.high_risk_min),
         ],
     )
@@ -182,7 +194,7 @@ def matrix(s, config=CASES):
     return case_matrix(
         s["accounting"],
         s["exports"],
-        materialise(released(s)),
+        materialise(released(s, *cases.CASE_COLUMNS)),
         s["one_to_one_list"],
         precomputed(s),
         s.basel,
@@ -190,11 +202,6 @@ def matrix(s, config=CASES):
     )
 
 
-@query("case_indicator_matrix")
-def _(s):
-    return matrix(s)
-
-
 _WITHOUT_KS = [
     c for c in cases.CASE_INDICATORS if c not in (
         "does_not_conform_benford_ks_1st_digit",
@@ -203,9 +210,7 @@ _WITHOUT_KS = [
 ]
 
 
-@query(
-    "case_indicators_without_ks",
-    f"""SELECT bn, importer_id, importer_name, CAST(mi AS INT) AS miscalculations, CAST(pc AS INT) AS inconsistent_values,
+_INDICATORS_SQL = f"""SELECT bn, importer_id, importer_name, CAST(mi AS INT) AS miscalculations, CAST(pc AS INT) AS inconsistent_values,
         nc AS numbered_company, 1 AS has_trade, CAST(COALESCE(high_dormancy, FALSE) AS INT) AS high_dormancy,
         CAST(COALESCE(rounded_transactions, FALSE) AS INT) AS rounded_transactions,
         CAST(COALESCE(high_first_transaction, FALSE) AS INT) AS high_first_transaction,
@@ -222,7 +227,28 @@ _WITHOUT_KS = [
             WHERE basel_ml_tf_risk >= 5.5 AND importer_id IS NOT NULL) AS hr,
         (SELECT MAX(prop_vague >= 0.05) FROM {{vague}} v WHERE v.bn = c.bn) AS vg,
         p.* EXCLUDE (importer_id)
-    FROM {{company}} c LEFT JOIN {{precomputed}} p ON p.importer_id = c.importer_id) t""",
-)
+    FROM {{company}} c LEFT JOIN {{precomputed}} p ON p.importer_id = c.importer_id) t"""
+
+
+@query("case_indicators_without_ks", _INDICATORS_SQL)
 def _(s):
     return matrix(s).select("bn", "importer_id", "importer_name", *_WITHOUT_KS)
+
+
+CASE_MATRIX_SQL = f"""SELECT *, {" + ".join(cases.CASE_INDICATORS)} AS total_indicators,
+        ({" + ".join(cases.CASE_INDICATORS)}) / 13 AS proportion_of_indicators
+    FROM (SELECT i.*, CAST(COALESCE(a.p_value <= 0.05, FALSE) AS INT) AS does_not_conform_benford_ks_1st_digit,
+            CAST(COALESCE(b.p_value <= 0.05, FALSE) AS INT) AS does_not_conform_benford_ks_2nd_digit
+        FROM ({_INDICATORS_SQL}) i LEFT JOIN {{ksp1}} a ON a.bn = i.bn LEFT JOIN {{ksp2}} b ON b.bn = i.bn) t"""
+
+
+@query("case_indicator_matrix", CASE_MATRIX_SQL)
+def _(s):
+    return matrix(s)
+
+
+@query("write_case_matrix", CASE_MATRIX_SQL)
+def _(s):
+    path = f"{shared_dir(s.spark)}/cargoscope-case-matrix-{uuid4().hex}"
+    write_parquet(matrix(s), path)
+    return s.spark.read.parquet(path)

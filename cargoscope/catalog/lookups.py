@@ -188,9 +188,7 @@ def _(s):
 
 def features(s, txn):
     return ent.entity_features_join(
-        ent.entity_value_features(txn),
-        ent.entity_line_features(s["lines"], s.sections),
-        ent.consolidators(s["lines"], RISK),
+        ent.entity_value_features(txn), ent.entity_line_side(s["lines"], s.sections, RISK)
     )
 
 

@@ -20,10 +20,10 @@ def parties(s) -> list[str]:
     return sorted(r["description"] for r in party_descriptions(s.party_codes).collect())
 
 
-def released(s):
-    """The wide records of the listed entities."""
-    wide = rel.release_wide(extracts(s), s.party_codes, parties(s))
-    return wide.select(*RELEASE_COLUMNS.split(", "))
+def released(s, *columns: str):
+    """The wide records of the listed entities: the named columns, or all."""
+    wanted = list(columns) or RELEASE_COLUMNS.split(", ")
+    return rel.release_wide(extracts(s), s.party_codes, parties(s), wanted)
 
 
 _ASSEMBLED = (

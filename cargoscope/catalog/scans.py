@@ -214,12 +214,3 @@ def _(s):
     out = released(s)
     sinks.write_csv(out, path)
     return readers.scan_csv(s.spark, path, out.schema, null_text="", line_breaks=True)
-
-
-@query("write_case_matrix")
-def _(s):
-    from cargoscope.catalog.cases import matrix
-
-    path = _folder(s, "case-matrix")
-    sinks.write_parquet(matrix(s, CASES), path)
-    return s.spark.read.parquet(path)

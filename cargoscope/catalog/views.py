@@ -78,6 +78,34 @@ def _ks(test: str) -> str:
         GROUP BY bn"""
 
 
+def _ks_p(test: str) -> str:
+    """Exact p-value: weights of all walks inside the band, a list per digit (see ``ks_p_value``)."""
+    digits = range(1, 10) if test == "1" else range(10, 100)
+    rows = ", ".join(f"({k}, LOG10({d + 1}.0 / {d}.0))" for k, d in enumerate(digits, 1))
+    return f"""
+        WITH RECURSIVE shares AS (
+            SELECT k, p, SUM(p) OVER (ORDER BY k) AS cum FROM (VALUES {rows}) x(k, p)),
+        walk AS (
+            SELECT n, statistic, (statistic - 1e-9) * SQRT(n) AS reach, 0 AS k, CAST(0 AS BIGINT) AS low,
+                [CAST(1 AS DOUBLE)] AS q
+            FROM (SELECT DISTINCT n, statistic FROM {{ks{test}}}) d WHERE statistic < 3.8
+            UNION ALL
+            SELECT n, statistic, reach, k, below, CASE WHEN LEN(q) = 0 OR below > above THEN CAST([] AS DOUBLE[])
+                ELSE LIST_TRANSFORM(RANGE(below, above + 1), LAMBDA s: LIST_DOT_PRODUCT(q,
+                    w[(above - s + 1):(above - s + LEN(q))])) END
+            FROM (SELECT *, LIST_TRANSFORM(RANGE(above - low, below - low - LEN(q), -1), LAMBDA x: CASE WHEN x < 0 THEN 0
+                    ELSE EXP(x * LN(n * p) - n * p - LGAMMA(GREATEST(x, 0) + 1)) END) AS w
+                FROM (SELECT w.n, w.statistic, w.reach, s.k, w.low, w.q, s.p,
+                        GREATEST(0, CAST(FLOOR(n * LEAST(cum, 1) - reach) AS BIGINT) + 1) AS below,
+                        LEAST(CAST(n AS BIGINT), CAST(CEIL(n * LEAST(cum, 1) + reach) AS BIGINT) - 1) AS above
+                    FROM walk w JOIN shares s ON s.k = w.k + 1) b) c),
+        ended AS (
+            SELECT n, statistic, COALESCE(q[n - low + 1], 0) * EXP(LGAMMA(n + 1) + n - n * LN(n)) AS inside
+            FROM walk WHERE k = {len(digits)})
+        SELECT v.bn, v.n, v.statistic, COALESCE(LEAST(1, GREATEST(0, 1 - inside)), 0) AS p_value
+        FROM {{ks{test}}} v LEFT JOIN ended e ON e.n = v.n AND e.statistic = v.statistic"""
+
+
 def _kept(name: str, ids: bool = True) -> str:
     keys, payload = EXTRACTS[name]
     semi = " WHERE ax_clnt_nbr IN (SELECT entity_id FROM {entity_ids})" if ids else ""
@@ -363,6 +391,8 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT SUBSTR(exporter_bn15, 1, 9), total_commodity_value FROM {exports}""",
     "ks1": _ks("1"),
     "ks2": _ks("2"),
+    "ksp1": _ks_p("1"),
+    "ksp2": _ks_p("2"),
     "precomputed": """
         SELECT DISTINCT importer_id, COALESCE(d.percentile_range = 'Above 75th percentile', FALSE) AS high_dormancy,
             COALESCE(num_rounded_transactions > 1, FALSE) AS rounded_transactions,

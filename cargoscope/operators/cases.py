@@ -16,7 +16,7 @@ from cargoscope.functions.cleaning import (
     starts_with_digits,
 )
 from cargoscope.functions.quantiles import named_quantiles
-from cargoscope.operators.benford import benford_ks
+from cargoscope.operators.benford import benford_ks_both
 from cargoscope.operators.keys import keep_first, previous_value
 from cargoscope.session import materialise, small_side
 
@@ -55,6 +55,16 @@ def numbered_company_flag(accounting: DataFrame) -> DataFrame:
     )
 
 
+#: What the indicators read of the release records.
+MISCALCULATION_COLUMNS = ["ax_clnt_nbr", "invoice_ppu", "unit_cnt", "invoice_total"]
+PRICE_CHANGE_COLUMNS = [
+    "ax_clnt_nbr", "class_cde", "msr_unit_tcde", "invoice_ppu", "audt_ins_tstmp", "clnt_sply_req_id",
+    "cmrc_invc_nbr", "gagi_nbr", "gds_itm_nbr",
+]
+TEXT_COLUMNS = ["clnt_sply_req_id", "ax_clnt_nbr", "itm_desc_txt"]
+CASE_COLUMNS = list(dict.fromkeys([*MISCALCULATION_COLUMNS, *PRICE_CHANGE_COLUMNS, *TEXT_COLUMNS]))
+
+
 def price_miscalculation(release: DataFrame, tolerance: float = 1.5e-8) -> DataFrame:
     """Entities with a record whose unit price times units misses its total."""
     near = is_near(F.col("invoice_ppu") * F.col("unit_cnt"), F.col("invoice_total"), tolerance)
@@ -105,14 +115,14 @@ def trade_values(accounting: DataFrame, exports: DataFrame) -> DataFrame:
 
 def digit_flags(accounting: DataFrame, exports: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Both Kolmogorov-Smirnov marks per business number."""
-    values = trade_values(accounting, exports)
+    first, pairs = benford_ks_both(trade_values(accounting, exports), "bn", "value", alpha)
 
-    def mark(test: str, name: str) -> DataFrame:
-        result = benford_ks(values, "bn", "value", test, alpha)
+    def mark(result: DataFrame, name: str) -> DataFrame:
         return result.select("bn", F.col("does_not_conform").cast("boolean").alias(name))
 
-    first = mark("first", "does_not_conform_benford_ks_1st_digit")
-    return first.join(mark("first_two", "does_not_conform_benford_ks_2nd_digit"), "bn")
+    return mark(first, "does_not_conform_benford_ks_1st_digit").join(
+        mark(pairs, "does_not_conform_benford_ks_2nd_digit"), "bn"
+    )
 
 
 def one_to_one_flag(company: DataFrame, listed: DataFrame, column: str = "importer") -> DataFrame:

@@ -44,12 +44,16 @@ def consolidator_mark(config: RiskConfig) -> Column:
 
 def consolidators(lines: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
     """Name, consignee and transaction diversity per importer, and the consolidator mark."""
-    return lines.groupBy("bn_9").agg(
+    return lines.groupBy("bn_9").agg(*consolidator_aggregates(config))
+
+
+def consolidator_aggregates(config: RiskConfig) -> list[Column]:
+    return [
         F.countDistinct("importer_name").alias("distinct_importer_names"),
         F.countDistinct("consignee_name").alias("distinct_consignees"),
         F.countDistinct("clnt_sply_req_id").alias("txn_cnt"),
         consolidator_mark(config).alias("is_consolidator"),
-    )
+    ]
 
 
 def consolidator_summary(cons: DataFrame) -> DataFrame:
@@ -91,6 +95,17 @@ def entity_line_features(lines: DataFrame, sections: DataFrame) -> DataFrame:
     return section_lookup(lines, sections).groupBy("bn_9").agg(*line_diversity_aggregates())
 
 
+def entity_line_side(lines: DataFrame, sections: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
+    """Line features and the consolidator mark from one reading of the lines.
+
+    A value's copies meet in a hash aggregate ahead of the shuffle, so counting several columns costs
+    expressions per line, not rows on the network. (Dictionary-coded bit sets were measured slower.)
+    """
+    return section_lookup(lines, sections).groupBy("bn_9").agg(
+        *line_diversity_aggregates(), consolidator_mark(config).alias("is_consolidator")
+    )
+
+
 def line_share_aggregates() -> list[Column]:
     """Shares over all lines; a line without a usable price counts as not round."""
     price = F.col("price_val")
@@ -124,13 +139,10 @@ def entity_line_profile(
     )
 
 
-def entity_features_join(value: DataFrame, line: DataFrame, cons: DataFrame) -> DataFrame:
-    """Value side, line side and consolidator mark; an importer without a mark counts as 0."""
-    marks = cons.select("bn_9", "is_consolidator")
-    return (
-        value.join(line, "bn_9", "left")
-        .join(marks, "bn_9", "left")
-        .withColumn("is_consolidator", F.coalesce("is_consolidator", F.lit(0)))
+def entity_features_join(value: DataFrame, line_side: DataFrame) -> DataFrame:
+    """Value side and line side with its consolidator mark; an importer without a mark counts as 0."""
+    return value.join(line_side, "bn_9", "left").withColumn(
+        "is_consolidator", F.coalesce("is_consolidator", F.lit(0))
     )
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargoscope.functions.cleaning import PRICE_KINDS, joined_lines, price_kind
-from cargoscope.operators.keys import fill_down_up, keep_first, latest_version
-from cargoscope.session import small_side
+from cargoscope.operators.keys import fill_down_up, keep_first, null_safe_join
+from cargoscope.session import BROADCAST_ROW_LIMIT, materialise, small_side
 from cargoscope.sources.schemas import (
     DECLARATION_KEYS,
     EXTRACTS,
@@ -144,13 +144,12 @@ def _first_known(value: Column, condition: Column, position: Column) -> Column:
     return F.min_by(value, F.when(condition & value.isNotNull(), position))
 
 
-def _first_rows(df: DataFrame, keys, order: list[str], filled: tuple[str, ...] = ()) -> DataFrame:
+def _first_rows(df: DataFrame, keys, order: list[str], filled: list[str], plain: list[str]) -> DataFrame:
     """One row per key: the first row, with ``filled`` columns taken from the first row having one."""
     position = F.struct(*order)
-    plain = [c for c in df.columns if c not in keys and c not in filled]
-    first = F.min_by(F.struct(*plain), position).alias("_row") if plain else None
+    first = [F.min_by(F.struct(*plain), position).alias("_row")] if plain else []
     known = [F.min_by(c, F.when(F.col(c).isNotNull(), position)).alias(c) for c in filled]
-    rows = df.groupBy(*keys).agg(*([first] if plain else []), *known)
+    rows = df.groupBy(*keys).agg(*first, *known)
     return rows.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in plain], *filled)
 
 
@@ -182,66 +181,114 @@ def wide_parties(party: DataFrame, codes: DataFrame, descriptions: list[str]) ->
     )
 
 
-def release_wide(x: dict[str, DataFrame], codes: DataFrame, descriptions: list[str]) -> DataFrame:
-    """One wide record per item of each client submission, from its latest version.
+#: Columns that a submission's first declaration takes from the next one that has them.
+PRICE_COLUMNS = ["invoice_total", "invoice_ppu"]
 
-    Parties, prices and repeated rows fan out against each other when joined first and reshaped
-    afterwards. Here the latest version is found on the bare keys, every extract is reduced to
-    one row at its own key level, and only then do they meet, one to one per declaration. A
-    submission may hold several declarations: prices and parties that its first one lacks come
-    from the next that has them, before one row per record is kept.
+
+#: Extracts that add plain columns to a record: key, order of a key's rows, columns taken from the first row that has one.
+_SIDES = {
+    "item_description": (ITEM_KEYS, ["itm_char_sqnbr", "itm_desc_txt"], ["class_cde", "itm_desc_txt"]),
+    "package_count": (ITEM_KEYS, ["msr_unit_tcde", "unit_cnt"], []),
+    "package_qty": (GROUP_KEYS, ["un_pkg_tcde", "qty"], []),
+    "invoice": (INVOICE_KEYS, ["invc_tamt"], []),
+    "invoice_country": (INVOICE_KEYS, ["dprt_dt", "invc_cntry_cde"], ["invc_cntry_cde", "invc_st_cde", "dprt_dt"]),
+    "shipment": (DECLARATION_KEYS, ["ttl_trans_val"], []),
+}
+
+
+def wanted_declarations(x: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The extracts without rows of declarations that the root does not hold.
+
+    The list of declarations is checked for its size: a short one is sent to the scans, so that nothing
+    else of an extract is aggregated or moved; a long one saves nothing there and is left to the joins.
     """
+    listed = materialise(x["root"].select(*DECLARATION_KEYS).distinct())
+    if listed.limit(BROADCAST_ROW_LIMIT + 1).count() > BROADCAST_ROW_LIMIT:
+        return x
+    keys = list(DECLARATION_KEYS)
+    return {
+        name: df if name == "root" else df.join(F.broadcast(listed), keys, "left_semi") for name, df in x.items()
+    }
+
+
+def declared_records(x: dict[str, DataFrame]) -> DataFrame:
+    """Bare rows of the latest versions, one per record and declaration that holds it, with goods and root columns."""
     marked = x["goods_source"].withColumn("_goods", F.lit(True))
-    goods = marked.join(x["root"], list(DECLARATION_KEYS), "right")
-    newest = latest_version(goods, ITEM, "req_vers_nbr")
+    goods = materialise(marked.join(x["root"], list(DECLARATION_KEYS), "right"))
+    named = F.count("clnt_sply_req_id")
+    items = goods.groupBy(*ITEM).agg(
+        F.max("req_vers_nbr").alias("_newest"), ((named > 0) & (named < F.count(F.lit(1)))).alias("_partly")
+    )
+    newest = materialise(null_safe_join(goods, items, ITEM).where(F.col("req_vers_nbr").eqNullSafe(F.col("_newest"))))
+    # Only items that name their submission in some rows and not in others have anything to fill.
     rest = [c for c in DECLARATION_KEYS if c not in ITEM]
-    newest = fill_down_up(
-        newest, ITEM, rest, ["cntry_orig_cde", "ste_orig_cde"], ["clnt_sply_req_id"]
+    partly = fill_down_up(
+        newest.where("_partly"), ITEM, rest, ["cntry_orig_cde", "ste_orig_cde"], ["clnt_sply_req_id"]
     )
-    position = [*DECLARATION_KEYS, "cntry_orig_cde", "ste_orig_cde"]
-    order = [F.asc(c) for c in position]
+    filled = newest.where("NOT _partly").unionByName(partly).drop("_newest", "_partly")
     other = [c for c in DECLARATION_KEYS if c not in RECORD_KEYS]
-    out = keep_first(newest, [*RECORD_KEYS, *other], order)
-    sides = [
-        (
-            _first_rows(
-                x["item_description"],
-                ITEM_KEYS,
-                ["itm_char_sqnbr", "itm_desc_txt"],
-                ("class_cde", "itm_desc_txt"),
-            ),
-            ITEM_KEYS,
-        ),
-        (_first_rows(x["package_count"], ITEM_KEYS, ["msr_unit_tcde", "unit_cnt"]), ITEM_KEYS),
-        (wide_prices(x["price"]), ITEM_KEYS),
-        (_first_rows(x["package_qty"], GROUP_KEYS, ["un_pkg_tcde", "qty"]), GROUP_KEYS),
-        (_first_rows(x["invoice"], INVOICE_KEYS, ["invc_tamt"]), INVOICE_KEYS),
-        (
-            _first_rows(
-                x["invoice_country"],
-                INVOICE_KEYS,
-                ["dprt_dt", "invc_cntry_cde"],
-                ("invc_cntry_cde", "invc_st_cde", "dprt_dt"),
-            ),
-            INVOICE_KEYS,
-        ),
-        (_first_rows(x["shipment"], DECLARATION_KEYS, ["ttl_trans_val"]), DECLARATION_KEYS),
-        (wide_parties(x["party"], codes, descriptions), DECLARATION_KEYS),
-    ]
-    for side, keys in sides:
-        out = out.join(side, list(keys), "left")
-    # A root without goods gets nothing but its own columns.
-    declared = {
-        c: F.when(F.col("_goods"), F.col(c))
-        for side, keys in sides
-        if keys == DECLARATION_KEYS
-        for c in side.columns
-        if c not in keys
-    }
-    out = out.withColumns(declared).drop("_goods")
-    merged = ["invoice_total", "invoice_ppu"]
-    merged += [party_column(v, d) for v in PARTY_VALUES for d in descriptions]
-    record = _first_rows(out, RECORD_KEYS, position, tuple(merged))
-    return trim_columns(record, ["clnt_sply_req_id", "class_cde"])
+    return keep_first(filled, [*RECORD_KEYS, *other], [F.asc(c) for c in POSITION])
 
 
+POSITION = [*DECLARATION_KEYS, "cntry_orig_cde", "ste_orig_cde"]
+
+
+def _merged(first: DataFrame, others: DataFrame, side: DataFrame, keys, columns: list[str]) -> DataFrame:
+    """``first`` with a side's columns: its own declaration's, else those of the record's next one that has them.
+
+    ``others`` holds the rows of records with several declarations only.
+    """
+    own = first.join(side.select(*keys, *columns), list(keys), "left")
+    position = F.struct(*[F.col(c) for c in POSITION])
+    found = others.join(side.select(*keys, *columns), list(keys)).groupBy(*RECORD_KEYS).agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_m_{c}") for c in columns]
+    )
+    joined = null_safe_join(own, found, RECORD_KEYS, "left")
+    return joined.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+
+
+def release_wide(
+    x: dict[str, DataFrame], codes: DataFrame, descriptions: list[str], columns: list[str] | None = None
+) -> DataFrame:
+    """One wide record per item of each client submission, from its latest version.
+
+    Parties, prices and repeated rows fan out against each other when joined first and reshaped
+    afterwards. Here the latest version and each record's first declaration are found on bare keys;
+    every extract is reduced to one row at its own key level and joined to that one row. A submission may
+    hold several declarations: prices and parties that its first one lacks come from the next that has
+    them, which concerns records with several declarations only.
+
+    ``columns`` names what is read of the result; extracts that add none of these are never touched.
+    """
+    x = wanted_declarations(x)
+    rows = materialise(declared_records(x))
+    out = keep_first(rows, RECORD_KEYS, [F.asc(c) for c in POSITION])
+    read = set(columns) if columns is not None else None
+
+    def asked(names: list[str]) -> list[str]:
+        return [c for c in names if read is None or c in read]
+
+    several = rows.groupBy(*RECORD_KEYS).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    parties = {party_column(v, d): d for v in PARTY_VALUES for d in descriptions}
+    prices_read, parties_read = asked(PRICE_COLUMNS), asked(list(parties))
+    if prices_read or parties_read:
+        others = materialise(null_safe_join(rows, several, RECORD_KEYS))
+    for name, (keys, order, known) in _SIDES.items():
+        if taken := asked([c for c in x[name].columns if c not in keys]):
+            side = _first_rows(x[name], keys, order, [c for c in taken if c in known], [c for c in taken if c not in known])
+            joined = out.join(side, list(keys), "left")
+            # A root without goods gets nothing but its own columns.
+            out = joined.withColumns({c: F.when(F.col("_goods"), F.col(c)) for c in taken} if keys == DECLARATION_KEYS else {})
+    price = wide_prices(x["price"])
+    if currency := asked(["price_crncy_cde"]):
+        out = out.join(price.select(*ITEM_KEYS, *currency), list(ITEM_KEYS), "left")
+    if prices_read:
+        out = _merged(out, others, price, ITEM_KEYS, prices_read)
+    if parties_read:
+        described = [d for d in descriptions if d in {parties[c] for c in parties_read}]
+        # Not for a root without goods: its mark is null and joins nothing.
+        party = wide_parties(x["party"], codes, described).withColumn("_goods", F.lit(True))
+        out = _merged(out, others, party, [*DECLARATION_KEYS, "_goods"], parties_read)
+    out = out.drop("_goods")
+    trimmed = trim_columns(out, [c for c in ("clnt_sply_req_id", "class_cde") if c in out.columns])
+    return trimmed if columns is None else trimmed.select(*columns)

@@ -1,3 +1,4 @@
+import itertools
 import math
 from itertools import combinations
 
@@ -56,6 +57,28 @@ def test_ks_p_value_falls_as_the_statistic_grows(spark):
     assert got[0].p_value > 0.5 and got[-1].does_not_conform == 1
 
 
+@pytest.mark.parametrize(("n", "shares"), [(1, [0.5, 0.5]), (6, [0.2, 0.5, 0.3]), (5, list(expected_shares("first").values()))])
+def test_ks_p_value_equals_full_enumeration(n, shares):
+    outcomes = {}
+    for counts in itertools.product(range(n + 1), repeat=len(shares)):
+        if sum(counts) == n:
+            weight = math.factorial(n) * math.prod(p**c / math.factorial(c) for p, c in zip(shares, counts, strict=True))
+            gaps = np.abs(np.cumsum(counts) / n - np.cumsum(shares))
+            outcomes[counts] = (gaps.max() * math.sqrt(n), weight)
+    for reached in sorted({round(x, 12) for x, _ in outcomes.values()})[:40]:
+        exact = sum(w for x, w in outcomes.values() if x >= reached - 1e-9)
+        assert ben.ks_p_value(n, reached, shares) == pytest.approx(exact, abs=1e-10)
+
+
+def test_ks_p_value_of_large_samples_nears_the_limit():
+    fine = [1 / 400] * 400
+    limit = 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * 1.2**2) for j in range(1, 20))
+    # A grid sees less of the gap than the continuous limit does.
+    assert 0.8 * limit < ben.ks_p_value(20_000, 1.2, fine) < limit
+    assert ben.ks_p_value(10**6, 0.8, list(expected_shares("first_two").values())) < 1
+    assert ben.ks_p_value(50, 4.0, fine) == 0.0 and ben.ks_p_value(50, 0.0, fine) == 1.0
+
+
 ENTITY = (
     "bn_9 string, is_consolidator int, txn_cnt long, importer_numbered_share double, vendor_numbered_share double, "
     "round_1000_share double, round_100_share double, any_high_risk int, high_risk_share double, max_gap_days int, "
