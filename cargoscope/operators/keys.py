@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoscope.functions.cleaning import clean_number
+from cargoscope.operators.segments import Running, running
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -42,29 +43,14 @@ def latest_version(df: DataFrame, keys: list[str], version: str) -> DataFrame:
 def previous_value(
     df: DataFrame, keys: list[str], block: Column, order: list[str], value: str, out: str
 ) -> DataFrame:
-    """Value of the previous row within a key, computed block by block.
+    """Value of the previous row within a key.
 
-    ``block`` must not decrease along ``order`` (for instance the day of a timestamp). Rows are
-    ordered only within one (key, block); a second, one-row-per-block pass carries the last
-    value across block borders. A dominant key thus spreads over as many tasks as it has blocks.
+    ``block`` must not decrease along ``order`` (for instance the day of a timestamp) and goes ahead of it.
+    A dominant key is cut into segments, even where all its rows fall into one block.
     """
     blocked = df.withColumn("_block", block)
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    local = blocked.withColumns(
-        {"_rn": F.row_number().over(inside), "_prev": F.lag(value).over(inside)}
-    )
-    whole = Window.partitionBy(*keys).orderBy("_block")
-    last = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(whole))
-        .drop("_last")
-    )
-    return (
-        null_safe_join(local, last, [*keys, "_block"])
-        .withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry.v")).otherwise(F.col("_prev")))
-        .drop("_block", "_rn", "_prev", "_carry")
-    )
+    found = running(blocked, keys, ["_block", *order], {"_prev": Running("previous", value)})
+    return found.withColumnRenamed("_prev", out).drop("_block")
 
 
 def fill_down_up(
@@ -73,54 +59,11 @@ def fill_down_up(
     """Fill nulls per key from the last known value before, else the first known one after.
 
     Rows are taken in ascending ``block + order``, which must tell all rows of a key apart as
-    far as ``columns`` differ. Each (key, block) is filled on its own, then single-row block
-    summaries carry values across blocks, so a dominant key is never ordered as a whole.
+    far as ``columns`` differ. A dominant key is cut into segments of that order.
     """
-    local = df.withColumns(
-        _last_known([*keys, *block], order, columns, "_dn_")
-        | _last_known([*keys, *block], order, columns, "_up_", backwards=True)
-    )
-    position = F.struct(*order)
-    known = {c: F.when(F.col(c).isNotNull(), position) for c in columns}
-    ends = df.groupBy(*keys, *block).agg(
-        *[F.max_by(c, known[c]).alias(f"_last_{c}") for c in columns],
-        *[F.min_by(c, known[c]).alias(f"_first_{c}") for c in columns],
-    )
-    carry = ends.withColumns(
-        _last_known(keys, block, [f"_last_{c}" for c in columns], "_before", strictly=True)
-        | _last_known(
-            keys, block, [f"_first_{c}" for c in columns], "_after", backwards=True, strictly=True
-        )
-    ).drop(*[f"_last_{c}" for c in columns], *[f"_first_{c}" for c in columns])
-    filled = {
-        c: F.coalesce(f"_dn_{c}", f"_before_last_{c}", f"_up_{c}", f"_after_first_{c}")
-        for c in columns
-    }
-    return null_safe_join(local, carry, [*keys, *block]).select(
-        *[filled[c].alias(c) if c in filled else c for c in df.columns]
-    )
-
-
-def _last_known(
-    keys: list[str],
-    order: list[str],
-    columns: list[str],
-    prefix: str,
-    backwards: bool = False,
-    strictly: bool = False,
-) -> dict[str, Column]:
-    """Most recent non-null value up to each row (``strictly``: before it), in either direction.
-
-    Both directions use a growing frame, which Spark evaluates in one pass; a shrinking frame
-    would be re-read for every row.
-    """
-    ordered = [F.desc_nulls_last(c) if backwards else F.asc_nulls_first(c) for c in order]
-    frame = (
-        Window.partitionBy(*keys)
-        .orderBy(*ordered)
-        .rowsBetween(Window.unboundedPreceding, -1 if strictly else Window.currentRow)
-    )
-    return {f"{prefix}{c}": F.last(c, ignorenulls=True).over(frame) for c in columns}
+    wanted = {f"_dn_{c}": Running("last", c) for c in columns} | {f"_up_{c}": Running("next", c) for c in columns}
+    filled = running(df, keys, [*block, *order], wanted)
+    return filled.select(*[F.coalesce(f"_dn_{c}", f"_up_{c}").alias(c) if c in columns else c for c in df.columns])
 
 
 def dedup_latest_version(lines: DataFrame, key: str = "clnt_sply_req_id") -> DataFrame:

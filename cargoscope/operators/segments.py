@@ -21,7 +21,8 @@ class Running:
     """A running value of ``column``, a name (``row``: the 0-based position, without a column).
 
     ``sum`` and ``xor`` include the row itself; ``last`` is the latest known value up to the row,
-    ``before`` the latest known one ahead of it, ``previous`` the value of the row ahead, known or not.
+    ``before`` the latest known one ahead of it, ``previous`` the value of the row ahead, known or not,
+    ``next`` the first known value from the row on.
     """
 
     kind: str
@@ -40,14 +41,21 @@ def running(df: DataFrame, keys: list[str], order: list[str], wanted: dict[str,
     scan = materialise(
         scan.repartitionByRange("_key", *order, "_salt").drop("_salt").withColumn("_seg", F.spark_partition_id())
     )
-    carried = _carried(scan, order, wanted)
+    forward = {name: what for name, what in wanted.items() if what.kind != "next"}
     inside = Window.partitionBy("_seg", "_key").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = scan.withColumns({f"_l_{name}": _inside(what, so_far, ahead) for name, what in wanted.items()})
-    joined = local.join(
-        F.broadcast(carried), (F.col("_seg") == F.col("_c_seg")) & F.col("_key").eqNullSafe(F.col("_c_key")), "left"
+    # A growing frame in reversed order: a shrinking one would be read anew for every row.
+    back = Window.partitionBy("_seg", "_key").orderBy(*[F.desc(_name(c)) for c in order])
+    from_here = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = scan.withColumns(
+        {f"_l_{n}": _inside(what, from_here if what.kind == "next" else so_far, ahead) for n, what in wanted.items()}
     )
+    for part, backwards in ((forward, False), ({n: w for n, w in wanted.items() if n not in forward}, True)):
+        if part:
+            carried = F.broadcast(_carried(scan, order, part, backwards))
+            on = (F.col("_seg") == F.col("_c_seg")) & F.col("_key").eqNullSafe(F.col("_c_key"))
+            joined = joined.join(carried, on, "left").drop("_c_seg", "_c_key")
     return joined.select(
         *[_name(c) for c in df.columns], *[_whole(name, what).alias(name) for name, what in wanted.items()]
     )
@@ -71,7 +79,7 @@ def _inside(what: Running, so_far: Window, ahead: Window) -> Column:
         return F.sum(column).over(so_far)
     if what.kind == "xor":
         return F.bit_xor(column).over(so_far)
-    if what.kind == "last":
+    if what.kind in ("last", "next"):
         return F.last(column, ignorenulls=True).over(so_far)
     if what.kind == "before":
         return F.last(column, ignorenulls=True).over(ahead)
@@ -89,6 +97,8 @@ def _summary(what: Running, order: Iterable[str]) -> Column:
         return F.bit_xor(column)
     if what.kind == "previous":
         return F.max_by(F.struct(column.alias("v")), place)
+    if what.kind == "next":
+        return F.min_by(column, F.when(column.isNotNull(), place))
     return F.max_by(column, F.when(column.isNotNull(), place))
 
 
@@ -112,21 +122,24 @@ def _whole(name: str, what: Running) -> Column:
     return best["v"] if what.kind == "previous" else best
 
 
-def _carried(scan: DataFrame, order: list[str], wanted: dict[str, Running]) -> DataFrame:
-    """What each segment's first key brings from the segments before: at most one row per segment."""
+def _carried(scan: DataFrame, order: list[str], wanted: dict[str, Running], backwards: bool) -> DataFrame:
+    """What each segment's first key brings from the segments before, or its last key from those after.
+
+    At most one row per segment: of a segment only the key at its end can go on in the next one.
+    """
     ends = scan.groupBy("_seg").agg(F.min("_key").alias("first"), F.max("_key").alias("last"))
-    # Only a segment's last key can go on in the next one.
-    edge = ends.select(F.col("_seg").alias("_e_seg"), "last")
-    tails = scan.join(F.broadcast(edge), (F.col("_seg") == F.col("_e_seg")) & (F.col("_key") == F.col("last")))
-    sums = tails.groupBy("_e_seg").agg(*[_summary(what, order).alias(f"t_{name}") for name, what in wanted.items()])
-    by_key = Window.partitionBy("last").orderBy("_seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_turn = Window.partitionBy(F.lit(0)).orderBy("_seg")
+    giving, taking, turn = ("first", "last", F.desc("_seg")) if backwards else ("last", "first", F.asc("_seg"))
+    edge = ends.select(F.col("_seg").alias("_e_seg"), giving)
+    at_edge = scan.join(F.broadcast(edge), (F.col("_seg") == F.col("_e_seg")) & (F.col("_key") == F.col(giving)))
+    sums = at_edge.groupBy("_e_seg").agg(*[_summary(what, order).alias(f"t_{name}") for name, what in wanted.items()])
+    by_key = Window.partitionBy(giving).orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_turn = Window.partitionBy(F.lit(0)).orderBy(turn)
     whole = ends.join(F.broadcast(sums), F.col("_seg") == F.col("_e_seg")).withColumns(
         {f"m_{name}": _merged(what, f"t_{name}", by_key) for name, what in wanted.items()}
     )
     handed = whole.withColumns(
-        {"from": F.lag("last").over(in_turn)} | {f"_c_{n}": F.lag(f"m_{n}").over(in_turn) for n in wanted}
+        {"from": F.lag(giving).over(in_turn)} | {f"_c_{n}": F.lag(f"m_{n}").over(in_turn) for n in wanted}
     )
-    return handed.where(F.col("from") == F.col("first")).select(
-        F.col("_seg").alias("_c_seg"), F.col("first").alias("_c_key"), *[f"_c_{n}" for n in wanted]
+    return handed.where(F.col("from") == F.col(taking)).select(
+        F.col("_seg").alias("_c_seg"), F.col(taking).alias("_c_key"), *[f"_c_{n}" for n in wanted]
     )

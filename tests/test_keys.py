@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from cargoscope.functions import quantiles
 from cargoscope.functions.quantiles import exact_quantile, named_quantiles
 from cargoscope.operators import keys
 
@@ -94,6 +95,18 @@ def test_exact_quantile_equals_percentile(spark, n, q):
     assert got == pytest.approx(df.agg(F.expr(f"percentile(x, {q}D)")).first()[0], rel=1e-12)
 
 
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 0.99, 1.0])
+def test_quantile_of_long_lists_comes_from_running_counts(spark, monkeypatch, q):
+    monkeypatch.setattr(quantiles, "LISTED", 5)
+    df = spark.range(24_000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 2 > 0, F.lit("b")).alias("g"),
+        F.when(F.col("id") % 5 == 0, 1.0).otherwise(F.exp(F.rand(3) * 9)).alias("x"),
+    )
+    got = {r["g"]: r["q"] for r in exact_quantile(df, ["g"], "x", q, "q").collect()}
+    expected = {r[0]: r[1] for r in df.groupBy("g").agg(F.expr(f"percentile(x, {q}D)")).collect()}
+    assert got == pytest.approx(expected, rel=1e-12) and len(got) == 3
+
+
 def test_named_quantiles_skip_nulls(rows):
     df = rows("a double, b double", (1.0, 1.0), (2.0, None), (3.0, 5.0))
     cut = named_quantiles(df, {"m": (F.col("a"), 0.5), "n": (F.col("b"), 0.5), "o": (F.col("a"), 1.0)})

@@ -14,6 +14,7 @@ KINDS = {
     "known": Running("last", "v"),
     "earlier": Running("before", "v"),
     "prev": Running("previous", "v"),
+    "following": Running("next", "v"),
 }
 
 
@@ -27,6 +28,10 @@ def loop(data):
             total, bits, known = (total or 0) + v, (bits or 0) ^ v, v
         out[k, at] = (n, total, bits, known, earlier, prev)
         state[k] = (n + 1, total, bits, known, v)
+    coming = {}
+    for k, at, v in sorted(data, key=lambda r: -r[1]):
+        coming[k] = v if v is not None else coming.get(k)
+        out[k, at] += (coming[k],)
     return out
 
 
