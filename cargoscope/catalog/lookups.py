@@ -46,6 +46,29 @@ def _(s):
     return pairs.withColumn("rate_to_cad", F.col("rate_to_cad").cast("double"))
 
 
+_FIXING = "INTERVAL 16 HOUR"
+
+
+@query(
+    "fx_asof_times",
+    f"""SELECT l.clnt_sply_req_id, l.line_no, l.ccy, l.arrived, CAST(f.rate AS DOUBLE) AS rate_to_cad
+    FROM (SELECT clnt_sply_req_id, line_no, price_crncy_total AS ccy, CASE WHEN actual_arrival_dttm <> 'NULL'
+            THEN CAST(actual_arrival_dttm AS TIMESTAMP) + INTERVAL 5 HOUR * line_no END AS arrived
+        FROM {{lines_core}}) l
+    ASOF LEFT JOIN (SELECT ccy, rate, CAST(fx_date AS TIMESTAMP) + {_FIXING} AS fixed FROM {{fx}}) f
+        ON l.ccy = f.ccy AND l.arrived >= f.fixed""",
+)
+def _(s):
+    known = F.when(F.col("actual_arrival_dttm") != "NULL", F.col("actual_arrival_dttm"))
+    arrived = known.cast("timestamp_ntz") + F.expr("INTERVAL '5' HOUR * line_no")
+    lines = s["lines_core"].select(
+        "clnt_sply_req_id", "line_no", F.col("price_crncy_total").alias("ccy"), arrived.alias("arrived")
+    )
+    fixed = s.fx.withColumn("fixed", F.col("fx_date").cast("timestamp_ntz") + F.expr("INTERVAL '16' HOUR"))
+    rated = fxo.with_rate(materialise(lines), fixed, "ccy", "arrived", "fixed")
+    return rated.withColumn("rate_to_cad", F.col("rate_to_cad").cast("double"))
+
+
 @query(
     "latest_rate",
     f"""SELECT ccy, fx_date, CAST(rate AS DOUBLE) AS rate_to_cad FROM {{fx}} WHERE fx_date <= DATE '{AS_OF}'

@@ -1,8 +1,9 @@
 """As-of exchange rates: each line takes the latest rate on or before its arrival day.
 
-Rates are few (currencies x days), lines are many. The gaps between published days are filled
-once on the small side, which turns the as-of condition into an equality that a broadcast hash
-join answers without moving the lines.
+Rates are usually few (currencies x days), lines are many. The gaps between published days are then
+filled once on the small side, which turns the as-of condition into an equality that a broadcast hash
+join answers without moving the lines. A history too long for that, or one by time of day, is merged
+with the lines in sorted order instead.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
+from cargoscope.operators.asof import asof_join
 from cargoscope.session import BROADCAST_ROW_LIMIT
 
 
@@ -26,24 +29,35 @@ def rate_calendar(fx: DataFrame, last_day: date) -> DataFrame:
     )
 
 
-def with_rate(df: DataFrame, fx: DataFrame, ccy: str, day: str) -> DataFrame:
-    """Add ``rate_to_cad``; null where no rate was published by that day or the currency is unknown."""
+def with_rate(df: DataFrame, fx: DataFrame, ccy: str, day: str, fx_time: str = "fx_date") -> DataFrame:
+    """Add ``rate_to_cad``; null where no rate was published by that day or the currency is unknown.
+
+    ``day`` and ``fx_time`` may be timestamps too.
+    """
+    if not all(isinstance(t, DateType) for t in (df.schema[day].dataType, fx.schema[fx_time].dataType)):
+        return merged_rate(df, fx, ccy, day, fx_time)
     extent = fx.agg(
-        F.min("fx_date").alias("first"), F.max("fx_date").alias("last"), F.countDistinct("ccy").alias("n")
+        F.min(fx_time).alias("first"), F.max(fx_time).alias("last"), F.countDistinct("ccy").alias("n")
     ).first()
     if extent["last"] is None:
         return df.withColumn("rate_to_cad", F.lit(None).cast(fx.schema["rate_to_cad"].dataType))
     # The calendar cannot have more rows than currencies times days.
     most_rows = extent["n"] * ((extent["last"] - extent["first"]).days + 1)
-    calendar = rate_calendar(fx, extent["last"]).select(
+    if most_rows > BROADCAST_ROW_LIMIT:
+        return merged_rate(df, fx, ccy, day, fx_time)
+    calendar = rate_calendar(fx.withColumnRenamed(fx_time, "fx_date"), extent["last"]).select(
         F.col("ccy").alias("_ccy"), F.col("rate_day").alias("_day"), "rate_to_cad"
     )
-    if most_rows <= BROADCAST_ROW_LIMIT:
-        calendar = F.broadcast(calendar)
     # After the last published day every currency keeps its final rate.
     lookup_day = F.when(F.col(day).isNotNull(), F.least(F.col(day), F.lit(extent["last"])))
     on = (F.col(ccy) == F.col("_ccy")) & (lookup_day == F.col("_day"))
-    return df.join(calendar, on, "left").drop("_ccy", "_day")
+    return df.join(F.broadcast(calendar), on, "left").drop("_ccy", "_day")
+
+
+def merged_rate(df: DataFrame, fx: DataFrame, ccy: str, day: str, fx_time: str = "fx_date") -> DataFrame:
+    """``with_rate`` for a history of any length and times of any grain: a sorted merge of both sides."""
+    rates = fx.select(F.col("ccy").alias(ccy), fx_time, "rate_to_cad")
+    return asof_join(df, rates, [ccy], day, fx_time, ["rate_to_cad"])
 
 
 def distinct_pairs(lines: DataFrame) -> DataFrame:

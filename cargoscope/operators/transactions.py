@@ -69,8 +69,10 @@ def txn_value(lines: DataFrame, fx: DataFrame, config: RiskConfig = RiskConfig()
 
 
 def _converted(config: RiskConfig) -> Column:
-    value = F.col("price_val") * F.col("rate_to_cad")
-    return value if config.price_type == "double" else value.cast("decimal(38,12)")
+    if config.price_type == "double":
+        return F.col("price_val") * F.col("rate_to_cad")
+    # A sum of 24 digits times a rate of 12 keeps all of its decimals; wider operands would lose some.
+    return F.col("price_val").cast("decimal(24,4)") * F.col("rate_to_cad")
 
 
 def txn_ccy_join(lines: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
