@@ -260,14 +260,18 @@ def _(s):
     return rounded(plan.profile_report(profile(s)), _Z)
 
 
-@query("save_anomaly_profile")
+_MODELLED = [*_Z, "ml_score"]
+_SAVED = ", ".join(f"ROUND({c}, 6) AS {c}" if c in _MODELLED else c for c in [*plan.PROFILE_COLUMNS, "ml_score", "ml_outlier"])
+
+
+@query("save_anomaly_profile", f"SELECT {_SAVED} FROM {{modelled}}")
 def _(s):
     from cargoscope.catalog.scans import _folder
     from cargoscope.sources.sinks import write_parquet
 
     path = _folder(s, "anomaly-profile")
     write_parquet(plan.profile_report(modelled(s)), path)
-    return s.spark.read.parquet(path)
+    return rounded(s.spark.read.parquet(path), _MODELLED)
 
 
 @query(
@@ -282,17 +286,26 @@ def _(s):
     return tuned.select("bn_9", "n_reactivation", "n_spike_months")
 
 
-@query("isolation_forest")
+@query("isolation_forest", "SELECT bn_9, txn_cnt, ROUND(ml_score, 6) AS ml_score, ml_outlier FROM {modelled}")
 def _(s):
     return modelled(s).select("bn_9", "txn_cnt", F.round("ml_score", 6).alias("ml_score"), "ml_outlier")
 
 
-@query("review_queue")
+_QUEUE = ", ".join(["bn_9", "is_consolidator", "txn_cnt", *RULE_FLAGS, "rule_score", "ROUND(ml_score, 6) AS ml_score", "ml_outlier"])
+
+
+@query(
+    "review_queue",
+    f"""SELECT {_QUEUE} FROM (SELECT * FROM {{modelled}} ORDER BY rule_score DESC, ml_score DESC, bn_9 LIMIT 25) t""",
+)
 def _(s):
-    return plan.review_queue(modelled(s))
+    return rounded(plan.review_queue(modelled(s)), ["ml_score"])
 
 
-@query("rule_ml_overlap")
+@query(
+    "rule_ml_overlap",
+    "SELECT COUNT(*) FILTER (rule_score >= 2 AND ml_outlier = 1) AS n_overlap FROM {modelled}",
+)
 def _(s):
     return scoring.rule_ml_overlap(modelled(s))
 

@@ -106,6 +106,67 @@ def _ks_p(test: str) -> str:
         FROM {{ks{test}}} v LEFT JOIN ended e ON e.n = v.n AND e.statistic = v.statistic"""
 
 
+#: The model of the queries: trees, rows of a tree, seed, and the profile columns it reads.
+_TREES, _SAMPLE, _SEED = 200, 256, 42
+_ML = (
+    "txn_cnt", "std_log_val", "tenure_days", "n_value_anom", "n_reactivation", "max_abs_z", "recent_new_countries",
+    "recent_new_chapters", "n_spike_months", "max_vol_z", "distinct_vendor_countries", "distinct_sections",
+)
+
+
+def _drawn(what: str) -> str:
+    return f"('0x' || SUBSTR(MD5('{_SEED}:' || tree || ':' || node || ':{what}'), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+def _split(over: str) -> str:
+    """A node's size, depth limit, chosen feature and cut, over a window or a group."""
+    lows, highs = (", ".join(f"{f}(x[{i}]){over}" for i in range(1, len(_ML) + 1)) for f in ("MIN", "MAX"))
+    return f"""SELECT *, lows[feature] + {_drawn("cut")} * (highs[feature] - lows[feature]) AS cut FROM (
+            SELECT *, CASE WHEN n >= 2 AND depth < (SELECT depth_limit FROM {{ml_size}})
+                THEN varied[1 + CAST(FLOOR({_drawn("feature")} * LEN(varied)) AS INT)] END AS feature FROM (
+            SELECT *, LIST_FILTER(RANGE(1, {len(_ML) + 1}), LAMBDA i: highs[i] > lows[i]) AS varied FROM (
+            SELECT %s, COUNT(*){over} AS n, [{lows}] AS lows, [{highs}] AS highs FROM %s) a) b) c"""
+
+
+def _mean_depth(n: str) -> str:
+    return f"CASE WHEN {n} < 2 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (LN({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n} END"
+
+
+_MODEL = {
+    "ml_input": f"""
+        SELECT bn_9, is_consolidator = 0 AND txn_cnt >= 12 AS fit,
+            [{", ".join(f"CAST(SIGN(COALESCE({c}, 0)) * LN(1 + ABS(COALESCE({c}, 0))) AS DOUBLE)" for c in _ML)}] AS x
+        FROM {{profile}}""",
+    "ml_sample": f"""
+        SELECT tree, bn_9, x FROM (SELECT CAST(range AS INT) AS tree FROM RANGE({_TREES})) t CROSS JOIN {{ml_input}} WHERE fit
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY tree ORDER BY MD5(COALESCE(bn_9, '') || ':' || tree || ':{_SEED}'), bn_9) <= {_SAMPLE}""",
+    "ml_size": """
+        SELECT CEIL(LOG2(GREATEST(COUNT(*), 2))) AS depth_limit, COUNT(*) AS psi FROM {ml_sample} WHERE tree = 0""",
+    "ml_nodes": f"""
+        WITH RECURSIVE grown AS (
+            SELECT tree, CAST(1 AS BIGINT) AS node, 0 AS depth, bn_9, x FROM {{ml_sample}}
+            UNION ALL
+            SELECT tree, 2 * node + CASE WHEN x[feature] <= cut THEN 0 ELSE 1 END, depth + 1, bn_9, x
+            FROM ({_split(" OVER (PARTITION BY tree, node)") % ("tree, node, depth, bn_9, x", "grown")}) d
+            WHERE feature IS NOT NULL)
+        {_split("") % ("tree, node, depth", "grown GROUP BY tree, node, depth")}""",
+    "ml_scored": f"""
+        WITH RECURSIVE walk AS (
+            SELECT bn_9, x, CAST(range AS INT) AS tree, CAST(1 AS BIGINT) AS node FROM {{ml_input}} CROSS JOIN RANGE({_TREES}) t
+            UNION ALL
+            SELECT bn_9, x, w.tree, 2 * w.node + CASE WHEN x[feature] <= cut THEN 0 ELSE 1 END
+            FROM walk w JOIN {{ml_nodes}} m ON m.tree = w.tree AND m.node = w.node WHERE feature IS NOT NULL)
+        SELECT bn_9, ROUND(POWER(2, -AVG(depth + {_mean_depth("n")})
+            / (SELECT GREATEST({_mean_depth("psi")}, 1) FROM {{ml_size}})), 9) AS ml_score
+        FROM walk w JOIN {{ml_nodes}} m ON m.tree = w.tree AND m.node = w.node WHERE feature IS NULL GROUP BY bn_9""",
+    "modelled": """
+        SELECT p.*, s.ml_score, CAST(i.fit AND s.ml_score >= (SELECT QUANTILE_CONT(ml_score, 0.99)
+            FROM {ml_scored} q JOIN {ml_input} f ON f.bn_9 IS NOT DISTINCT FROM q.bn_9 WHERE f.fit) AS INT) AS ml_outlier
+        FROM {profile} p JOIN {ml_scored} s ON s.bn_9 IS NOT DISTINCT FROM p.bn_9
+        JOIN {ml_input} i ON i.bn_9 IS NOT DISTINCT FROM p.bn_9""",
+}
+
+
 def _kept(name: str, ids: bool = True) -> str:
     keys, payload = EXTRACTS[name]
     semi = " WHERE ax_clnt_nbr IN (SELECT entity_id FROM {entity_ids})" if ids else ""
@@ -318,6 +379,7 @@ VIEWS: dict[str, str] = {
                 CAST(recent_new_chapters > 0 AND is_consolidator = 0 AS INT) AS a_new_chapter,
                 CAST(n_spike_months > 0 AS INT) AS a_volume_spike
             FROM {rollup}) r""",
+    **_MODEL,
     # -- declarations --------------------------------------------------------------------------
     "entity_ids": """
         SELECT DISTINCT TRY_CAST(bn_number AS BIGINT) AS entity_id FROM {case_list}

@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) as Spark jobs.
 
-* every tree draws its rows by a seeded hash of the entity id, so the model does not depend on
-  partitioning or on task retries;
+* randomness is a counter, not a generator: every draw is a hash of (seed, tree, node) or of (entity, tree,
+  seed), so the model depends neither on partitioning nor on task retries, and SQL grows the same trees;
 * trees are grown side by side, one small group (at most ``sample_size`` rows) per tree;
 * the grown forest has a fixed maximum size and is broadcast; all entities are scored in
   Arrow batches.
@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from collections.abc import Callable
@@ -26,7 +27,15 @@ from cargoscope.session import materialise
 # The functions below run in executor processes that need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_NODES = "tree int, node int, feature int, cut double, left_node int, right_node int, path double"
+_NODES = "tree int, node int, feature int, cut double, path double"
+#: Hexadecimal digits of a draw: 52 bits, which a double holds exactly.
+_DIGITS = 13
+
+
+def drawn(seed: int, tree: int, node: int, what: str) -> float:
+    """The number in [0, 1) that belongs to a node."""
+    mark = hashlib.md5(f"{seed}:{tree}:{node}:{what}".encode(), usedforsecurity=False).hexdigest()
+    return int(mark[:_DIGITS], 16) / 16.0**_DIGITS
 
 
 def mean_depth(n: int) -> float:
@@ -63,53 +72,47 @@ def scaled_features(df: DataFrame, features: list[str], fit: Column) -> DataFram
 def tree_samples(
     rows: DataFrame, key: str, n_rows: int, n_trees: int, sample_size: int, seed: int
 ) -> DataFrame:
-    """The rows of each tree: those with the lowest seeded hash of (key, tree).
+    """The rows of each tree: those with the lowest hash of (key, tree, seed).
 
     A hash cut keeps about four times the needed rows before they are ranked, so the fit set is
     never multiplied by the number of trees.
     """
     keep = 1.0 if n_rows == 0 else min(1.0, 4.0 * sample_size / n_rows)
+    # Hashes are compared as text: the cut is the share's own hexadecimal digits.
+    upto = f"{int(keep * 16**_DIGITS):0{_DIGITS}x}" if keep < 1.0 else "g"
 
-    def draw(tree: Column) -> Column:
-        spread = F.xxhash64(F.col(key), tree, F.lit(seed))
-        return F.pmod(spread, F.lit(1 << 40)) / float(1 << 40)
+    def mark(tree: Column) -> Column:
+        name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+        return F.md5(F.concat_ws(":", name, tree.cast("string"), F.lit(str(seed))))
 
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < keep)
-    drawn = rows.withColumn("tree", F.explode(trees)).withColumn("_u", draw(F.col("tree")))
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: mark(t) < F.lit(upto))
+    chosen = rows.withColumn("tree", F.explode(trees)).withColumn("_u", mark(F.col("tree")))
     lowest = Window.partitionBy("tree").orderBy("_u", key)
-    return (
-        drawn.withColumn("_rank", F.row_number().over(lowest))
-        .where(F.col("_rank") <= sample_size)
-        .drop("_u")
-    )
+    return chosen.withColumn("_rank", F.row_number().over(lowest)).where(F.col("_rank") <= sample_size).drop("_u", "_rank")
 
 
 def tree_grower(n_features: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Function growing one tree from its sample."""
+    """Function growing one tree from its sample; the children of node n are 2n and 2n + 1."""
 
     def grow(sample: pd.DataFrame) -> pd.DataFrame:
         tree = int(sample["tree"].iloc[0])
-        ordered = sample.sort_values("_rank")
-        data = ordered[[f"x{i}" for i in range(n_features)]].to_numpy(float)
-        rng = np.random.default_rng([seed, tree])
+        data = sample[[f"x{i}" for i in range(n_features)]].to_numpy(float)
         limit = math.ceil(math.log2(max(len(data), 2)))
-        nodes, pending = [], [(0, np.arange(len(data)), 0)]
-        n_nodes = 1
+        nodes, pending = [], [(1, np.arange(len(data)), 0)]
         while pending:
             node, members, depth = pending.pop()
             part = data[members]
             low, high = part.min(axis=0), part.max(axis=0)
             varied = np.flatnonzero(high > low)
             if depth >= limit or len(members) < 2 or len(varied) == 0:
-                nodes.append((tree, node, -1, 0.0, -1, -1, depth + mean_depth(len(members))))
+                nodes.append((tree, node, -1, 0.0, depth + mean_depth(len(members))))
                 continue
-            feature = int(rng.choice(varied))
-            cut = float(rng.uniform(low[feature], high[feature]))
+            feature = int(varied[int(drawn(seed, tree, node, "feature") * len(varied))])
+            cut = float(low[feature] + drawn(seed, tree, node, "cut") * (high[feature] - low[feature]))
             goes_left = part[:, feature] <= cut
-            nodes.append((tree, node, feature, cut, n_nodes, n_nodes + 1, 0.0))
-            pending.append((n_nodes + 1, members[~goes_left], depth + 1))
-            pending.append((n_nodes, members[goes_left], depth + 1))
-            n_nodes += 2
+            nodes.append((tree, node, feature, cut, 0.0))
+            pending.append((2 * node + 1, members[~goes_left], depth + 1))
+            pending.append((2 * node, members[goes_left], depth + 1))
         return pd.DataFrame(nodes, columns=[c.split()[0] for c in _NODES.split(", ")])
 
     return grow
@@ -132,15 +135,15 @@ def _packed(nodes: list, n_trees: int) -> dict[str, np.ndarray]:
         if r["feature"] >= 0:
             forest["feature"][at] = r["feature"]
             forest["cut"][at] = r["cut"]
-            forest["left"][at] = r["left_node"]
-            forest["right"][at] = r["right_node"]
+            forest["left"][at] = 2 * r["node"]
+            forest["right"][at] = 2 * r["node"] + 1
     return forest
 
 
 def _mean_path(forest: dict[str, np.ndarray], data: np.ndarray, depth: int) -> np.ndarray:
     total, rows = np.zeros(len(data)), np.arange(len(data))
     for tree in range(len(forest["path"])):
-        node = np.zeros(len(data), dtype=np.int64)
+        node = np.ones(len(data), dtype=np.int64)
         for _ in range(depth):
             left = data[rows, forest["feature"][tree][node]] <= forest["cut"][tree][node]
             node = np.where(left, forest["left"][tree][node], forest["right"][tree][node])
@@ -178,7 +181,8 @@ def isolation_scores(
 
     @F.pandas_udf("double")
     def score(batch: pd.DataFrame) -> pd.Series:
-        return pd.Series(2.0 ** (-_mean_path(forest.value, batch.to_numpy(float), depth) / normal))
+        # Nine places: the order in which paths are summed does not tell equal scores apart.
+        return pd.Series(np.round(2.0 ** (-_mean_path(forest.value, batch.to_numpy(float), depth) / normal), 9))
 
     return scaled.withColumn("ml_score", score(F.struct(*names))).drop(*names)
 
