@@ -28,7 +28,21 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cargoscope-stages/{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stage = spark.read.schema(df.schema).parquet(path)
+    stage.__dict__["_stage_path"] = path
+    return stage
+
+
+def discard(*stages: DataFrame) -> None:
+    """Empty written frames that nobody reads any more; whatever was made of them must be written itself.
+
+    Writing no rows in their place removes the files wherever Spark can write.
+    """
+    for stage in stages:
+        path = stage.__dict__.pop("_stage_path", None)
+        if path:
+            spark = stage.sparkSession
+            spark.createDataFrame([], stage.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:

@@ -66,3 +66,14 @@ def test_a_hot_key_is_cut_into_segments(spark):
     df = spark.range(4000).select(F.lit(1).alias("k"), F.col("id").alias("at"))
     plan = positions(df, ["k"], ["at"], "n")._jdf.queryExecution().toString()
     assert "_seg" in plan and "windowspecdefinition(k#" not in plan
+
+
+def test_discarded_stages_leave_no_rows(spark):
+    from cargoscope.session import discard, materialise
+
+    stage = materialise(spark.range(1000))
+    path = stage.inputFiles()[0].rsplit("/", 1)[0]
+    assert spark.read.parquet(path).count() == 1000
+    discard(stage, spark.range(3))
+    assert spark.read.parquet(path).count() == 0
+    discard(stage)
