@@ -23,6 +23,17 @@ def same_doc(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["th"] == right["th"])
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``, the text's hash ``th`` and the whole row as ``row``, whatever its columns are called."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows named by the written table ``gone`` (doc_id, th)."""
+    rows, small = whole_rows(docs), sized(gone)
+    return rows.join(small, same_doc(rows, small), "left_anti").select("row.*")
+
+
 def hashed_sample(df: DataFrame, n: int, seed: int, *columns: str) -> DataFrame:
     """At most ``n`` rows: those with the lowest hash of ``columns``.
 

@@ -1,8 +1,8 @@
 """Line de-duplication within an edit bound of one character, by deletion neighbourhoods.
 
-A line goes when an earlier line is equal to it or one edit away. Lines under ``min_chars``
-characters have no edits: by default they always stay, with ``short_repeats`` those that hold a word
-go when an earlier line is equal. Order is (key, text hash, line number), null keys last.
+A line with a word goes when an earlier line is equal to it or, from ``min_chars`` characters on, one edit
+away: shorter lines would meet by accident. A line without a word goes if it has ``min_chars`` characters
+and an earlier one is equal or one edit away. Order is (key, text hash, line number), null keys last.
 
 1. Equal lines are grouped by a 128-bit hash; the earliest occurrence owns the line.
 2. Lines one edit apart agree before and after a block (about ``BLOCK`` characters, or a 64th of a
@@ -17,7 +17,8 @@ go when an earlier line is equal. Order is (key, text hash, line number), null k
 
 Only DataFrame functions are used. Defined results: a null text stays null with 0 lines; an empty
 text is one empty line; rows with equal key and text count as one document and keep the same
-lines; an empty table gives no rows; other columns are passed through.
+lines; an empty table gives no rows; other columns are passed through, whatever they are called (but
+``n_lines`` and ``n_removed`` are replaced).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargoscope.llm.joins import same_doc, sized
+from cargoscope.llm.joins import same_doc, sized, whole_rows
 from cargoscope.session import materialise
 
 BLOCK, MAX_BLOCKS = 256, 64
@@ -70,7 +71,19 @@ def _blocks(line: str) -> Column:
         around = F.xxhash64(F.col("_n") + b["longer"], b["j"], lead, rest)
         return F.struct(around.alias("around"), b["before"].alias("before"), b["after"].alias("after"), b["longer"].alias("longer"))
 
-    return F.transform(F.concat(sides(0), sides(1)), hashed)
+    def half(longer: int, second: bool) -> Column:
+        size = F.expr(f"(_n + {longer + 1}) DIV 2").cast("int")
+        before, after = (size, F.lit(0)) if second else (F.lit(0), F.col("_n") + longer - size)
+        before = F.least(before, F.col("_n"))
+        lead, rest = (F.substring(F.col(line), F.lit(1), before), F.lit("")) if second else (
+            F.lit(""), F.substring(F.col(line), F.col("_n") - after + 1, after)
+        )
+        around = F.xxhash64(F.col("_n") + longer, F.lit(int(second)), lead, rest)
+        return F.struct(around.alias("around"), before.alias("before"), after.alias("after"), F.lit(longer).alias("longer"))
+
+    # Nearly all lines have two blocks: four plain expressions, without a function called per block.
+    halves = F.array(*[half(longer, second) for longer in (0, 1) for second in (False, True)])
+    return F.when(F.col("_count1") == 2, halves).otherwise(F.transform(F.concat(sides(0), sides(1)), hashed))
 
 
 def _earlier_neighbours(base: DataFrame, occurrences: DataFrame, owners: DataFrame) -> DataFrame:
@@ -123,17 +136,13 @@ def _earlier_neighbours(base: DataFrame, occurrences: DataFrame, owners: DataFra
     return verified.where(F.levenshtein("line", "earlier") <= 1).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
-    """``docs`` with their remaining ``text``, and the columns ``n_lines`` and ``n_removed``.
-
-    ``short_repeats``: exact repeats of lines under ``min_chars`` with a word go too.
-    """
+def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with their remaining ``text``, and the columns ``n_lines`` and ``n_removed``."""
 
     def judged(x: Column) -> Column:
-        long_enough = F.length(x) >= min_chars
-        return long_enough | x.rlike(WORD) if short_repeats else long_enough
+        return (F.length(x) >= min_chars) | x.rlike(WORD)
 
-    base = docs.withColumns({"lines": F.split("text", "\n"), "th": F.xxhash64("text")})
+    base = whole_rows(docs).withColumn("lines", F.split("text", "\n"))
     judged_lines = F.filter("lines", judged)
     firsts = F.transform(F.array_distinct(judged_lines), lambda x: F.struct(F.array_position("lines", x).alias("p"), x.alias("line")))
     found = base.select(F.isnull("doc_id").alias("no_key"), "doc_id", "th", F.explode(firsts).alias("o"))
@@ -161,7 +170,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, short_repeats: b
         | (~F.array_contains(lost, F.xxhash64(x)) & (F.array_position("lines", x) == i + 1)),
     )
     kept = F.when(F.isnull("gone") & ~repeats, F.col("lines")).when(repeats, stays_once).otherwise(stays)
-    others = [base[c] for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    others = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return joined.withColumn("kept", kept).select(
         *others,
         F.array_join("kept", "\n").alias("text"),
@@ -170,48 +179,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, short_repeats: b
     )
 
 
-def lines_ctes(documents: str, prefix: str = "", min_chars: int = MIN_CHARS) -> str:
-    """DuckDB common table expressions for ``dedup_lines`` on a table with unique keys.
-
-    The last one, ``<prefix>joined``, has doc_id, text, n_lines and n_removed of rows with a text.
-    """
-    return f"""{prefix}raw AS (
-    SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM {documents}
-), {prefix}lines AS (
-    SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM {prefix}raw
-), {prefix}owners AS (
-    SELECT line, min((doc_id, pos)) AS first FROM {prefix}lines WHERE length(line) >= {min_chars} GROUP BY line
-), {prefix}cuts AS (
-    SELECT line, first, i, left(line, i - 1) || substr(line, i + 1) AS cut
-    FROM {prefix}owners, LATERAL (SELECT unnest(range(1, length(line) + 1)) AS i)
-), {prefix}same_place AS (
-    SELECT length(line) AS n, i, cut, min(first) AS earliest FROM {prefix}cuts GROUP BY ALL HAVING count(*) > 1
-), {prefix}near AS (
-    SELECT c.line FROM {prefix}cuts c JOIN {prefix}same_place s
-        ON s.n = length(c.line) AND s.i = c.i AND s.cut = c.cut WHERE s.earliest < c.first
-    UNION
-    SELECT c.line FROM {prefix}cuts c JOIN {prefix}owners o ON o.line = c.cut WHERE o.first < c.first
-    UNION
-    SELECT o.line FROM {prefix}cuts c JOIN {prefix}owners o ON o.line = c.cut WHERE c.first < o.first
-), {prefix}judged AS (
-    SELECT l.doc_id, l.pos, l.line,
-        length(l.line) < {min_chars} OR (o.first = (l.doc_id, l.pos) AND n.line IS NULL) AS stays
-    FROM {prefix}lines l LEFT JOIN {prefix}owners o ON o.line = l.line LEFT JOIN {prefix}near n ON n.line = l.line
-), {prefix}joined AS (
-    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text,
-        count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed
-    FROM {prefix}judged GROUP BY doc_id
-)"""
-
-
-def lines_sql(documents: str) -> str:
-    return f"""WITH {lines_ctes(documents)}
-SELECT r.doc_id, j.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
-FROM {documents} r LEFT JOIN joined j USING (doc_id)"""
-
-
-def all_lines_sql(documents: str, min_chars: int = MIN_CHARS) -> str:
-    """DuckDB query for ``dedup_lines`` with ``short_repeats`` on a table with unique keys."""
+def lines_sql(documents: str, min_chars: int = MIN_CHARS) -> str:
+    """DuckDB query for ``dedup_lines`` on a table with unique keys."""
     return f"""WITH raw AS (
     SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM {documents}
 ), lines AS (

@@ -96,13 +96,7 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_line_dedup", sql=op6_line_dedup.lines_sql("documents"))
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return op6_line_dedup.dedup_lines(docs, min_chars=op6_line_dedup.MIN_CHARS)
-
-
-@query("op6_line_dedup_all", sql=op6_line_dedup.all_lines_sql("documents"))
-def line_dedup_all(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return op6_line_dedup.dedup_lines(docs, short_repeats=True)
+    return op6_line_dedup.dedup_lines(docs)
 
 
 @query("op7_decontaminate", sql=op7_decontaminate.contamination_sql("documents"))

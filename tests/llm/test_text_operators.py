@@ -158,7 +158,10 @@ def brute_lines(rows, least=24):
         lines = t.split("\n")
         keep = [
             x for j, x in enumerate(lines)
-            if len(x) < least or not any((a, b) < (i, j) and len(y) >= least and close(x, y) for a, b, y in flat)
+            if not any(
+                (a, b) < (i, j) and (x == y if min(len(x), len(y)) < least else close(x, y))
+                for a, b, y in flat if len(x) >= least or x.strip(" \t\n\x0b\x0c\r")
+            )
         ]
         out.append(("\n".join(keep), len(lines), len(lines) - len(keep)))
     return out
