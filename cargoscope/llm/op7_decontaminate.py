@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargoscope.llm.joins import same_doc, sized
+from cargoscope.llm.joins import same_doc, sized, without
 from cargoscope.session import materialise
 
 WINDOW, MIN_WORDS, PERCENT = 13, 8, 80
@@ -111,10 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap an item."""
     found = materialise(overlaps(docs, benchmark).select("doc_id", "th").distinct())
-    hashed = docs.withColumn("_th", F.xxhash64("text"))
-    small = sized(found)
-    same = hashed["doc_id"].eqNullSafe(small["doc_id"]) & (hashed["_th"] == small["th"])
-    return hashed.join(small, same, "left_anti").drop("_th")
+    return without(docs, found)
 
 
 def found_ctes(documents: str, prefix: str = "") -> str:
