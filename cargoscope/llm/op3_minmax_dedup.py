@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from cargoscope.llm.batches import bound_batches
 from cargoscope.llm.components import components
-from cargoscope.llm.joins import same_doc, sized
+from cargoscope.llm.joins import same_doc, sized, whole_rows
 from cargoscope.llm.shingles import mix, odd_numbers, sets_of
-from cargoscope.session import materialise
+from cargoscope.session import discard, materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -193,14 +193,14 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     same = F.col("component_id").eqNullSafe(F.col("c")) & F.col("kept") & (F.col("th") == F.col("t"))
     gone = judged.where("n_shingles > 0").join(chosen, same, "left_anti").select("doc_id", "th").distinct()
     gone = sized(materialise(gone))
-    hashed = docs.withColumn("_th", F.xxhash64("text"))
-    left = hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["doc_id"]) & (hashed["_th"] == gone["th"]), "left_anti")
+    rows = whole_rows(docs)
+    left = rows.join(gone, same_doc(rows, gone), "left_anti")
     if not chosen.where("n > 1").isEmpty():
         # Rows with equal key and text: all but one go.
         words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]"))
         blank = F.coalesce(words, F.lit(0)) == 0
-        left = left.where(blank).unionByName(left.where(~blank).dropDuplicates(["doc_id", "_th"]))
-    return left.drop("_th")
+        left = left.where(blank).unionByName(left.where(~blank).dropDuplicates(["doc_id", "th"]))
+    return left.select("row.*")
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -215,22 +215,30 @@ def _rounds() -> Iterator[int]:
 
 
 def _linked(nodes: DataFrame, texts: DataFrame, percent: int, width: int, n_bands: int) -> DataFrame:
-    """``(nid, component)`` of the nodes that have a link."""
-    marks = F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int"))
-    member = nodes.select("nid", "size", marks.alias("marks"), F.posexplode("bands").alias("place", "band"))
+    """``(nid, component)`` of the nodes that have a link.
+
+    A row per node and band holds numbers only. What bounds a pair from inside the sets (``facts``) is kept
+    once per node, and goes to the band rows after the first round, when few bands are left.
+    """
+    member = nodes.select("nid", F.posexplode("bands").alias("place", "band"))
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     meeting = materialise(member.join(shared, "band"))
-    weight = meeting.groupBy("nid").agg(F.sum("n").alias("weight"))
-    waiting = meeting.join(weight, "nid").drop("n")
+    weight = materialise(meeting.groupBy("nid").agg(F.sum("n").alias("weight")))
+    marks = F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int"))
     wanted = nodes.join(weight, "nid").select("nid", "digest", "doc_id", "th")
     sets = materialise(_texts_of(texts, wanted).mapInArrow(_set_writer(width), "nid long, shingles array<long>, classes array<int>").dropDuplicates(["nid"]))
     # Shingles that no other candidate has: no partner can share them.
     own = sets.select("nid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"))
     own = own.where("n = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("own"))
-    waiting = waiting.join(sets.select("nid", "classes"), "nid").join(own, "nid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    waiting = materialise(waiting.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")))
+    known = sets.select("nid", "classes").join(nodes.select("nid", "size", marks.alias("marks")), "nid").join(weight, "nid").join(own, "nid", "left")
+    # A node with too many shingles of its own cannot be linked with any other.
+    facts = materialise(known.withColumn("own", F.coalesce("own", F.lit(0))).where(100 * F.expr("size - own") >= percent * F.col("size")))
+    numbers, inner = facts.select("nid", "size", "own", "weight"), facts.select("nid", "marks", "classes")
+    waiting = materialise(meeting.drop("n").join(numbers, "nid"))
+    discard(meeting, weight)
     labels = nodes.sparkSession.createDataFrame([], "nid long, component long")
-    for pivots in _rounds():
+    read = [waiting]
+    for turn, pivots in enumerate(_rounds()):
         state = waiting.join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
         spread = state.groupBy("band").agg(
             F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("own").alias("least_own")
@@ -240,37 +248,67 @@ def _linked(nodes: DataFrame, texts: DataFrame, percent: int, width: int, n_band
             100 * F.expr("size - own") >= percent * F.expr("size + least_own")
         )
         state = materialise(state.drop("c0", "c1", "least_own"))
+        discard(*read)
         if state.isEmpty():
             break
         first = Window.partitionBy("band").orderBy("own", F.desc("weight"), "nid")
         chosen = state.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= pivots)
-        chosen = materialise(chosen.select("band", "nid", "size", "own", "marks", "classes", "component"))
-        near = chosen.select("band", *[F.col(c).alias(f"p_{c}") for c in ("nid", "size", "own", "marks", "classes", "component")])
-        # At most this much in common, at least this much together.
-        most = F.least(F.expr("size - own"), F.expr("p_size - p_own"))
-        least = F.greatest(F.expr("size + p_own"), F.expr("p_size + own"))
-        common = F.expr(" + ".join(f"least(classes[{i}], p_classes[{i}])" for i in range(CLASSES)))
-        # A pair is compared in the first band that it shares.
-        same = " ".join(f"WHEN marks[{i}] = p_marks[{i}] THEN {i}" for i in range(n_bands))
-        here = F.expr(f"CASE {same} END = place")
-        pairs = (
-            state.join(near, "band")
-            .where("nid != p_nid AND component != p_component")
-            .where(100 * most >= percent * least)
-            .where(here)
-            .where(100 * common >= percent * (F.expr("size + p_size") - common))
-            .select("nid", "p_nid", F.col("component").alias("a"), F.col("p_component").alias("b"))
-            .distinct()
-        )
+        chosen = materialise(chosen.drop("place", "weight", "rank"))
+        pairs = _first_pairs(state, chosen, facts, percent) if turn == 0 else _more_pairs(state, chosen, percent, n_bands)
         checked = (
             pairs.join(sets.select("nid", F.col("shingles").alias("left")), "nid")
             .join(sets.select(F.col("nid").alias("p_nid"), F.col("shingles").alias("right")), "p_nid")
             .mapInArrow(_checker(percent), "a long, b long")
         )
-        # What is linked are components so far; their own components name all their members anew.
-        merged = components(checked).withColumnRenamed("component", "new")
-        old = labels.unionByName(merged.select(F.col("node").alias("nid"), F.col("node").alias("component"))).distinct()
-        old = old.join(merged, old["component"] == merged["node"], "left")
-        labels = materialise(old.select("nid", F.coalesce("new", "component").alias("component")).distinct())
+        checked = materialise(checked.distinct())
+        if not checked.isEmpty():
+            # What is linked are components so far; their own components name all their members anew.
+            merged = components(checked).withColumnRenamed("component", "new")
+            old = labels.unionByName(merged.select(F.col("node").alias("nid"), F.col("node").alias("component"))).distinct()
+            old = old.join(merged, old["component"] == merged["node"], "left")
+            labels = materialise(old.select("nid", F.coalesce("new", "component").alias("component")).distinct())
         waiting = state.join(chosen.select("band", "nid"), ["band", "nid"], "left_anti").drop("component")
+        if turn == 0:
+            waiting = waiting.join(inner, "nid")
+        read = [state]
+    discard(sets, facts)
     return labels
+
+
+_SIDES = ("nid", "size", "own", "component")
+#: What a pair can have in common at most, by the counts of both sets in every class of shingles.
+_COMMON = " + ".join(f"least(classes[{i}], p_classes[{i}])" for i in range(CLASSES))
+
+
+def _met(state: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Members and pivots of a band that are not yet connected and whose own shingles leave enough in common."""
+    most = F.least(F.expr("size - own"), F.expr("p_size - p_own"))
+    least = F.greatest(F.expr("size + p_own"), F.expr("p_size + own"))
+    met = state.join(near, "band").where("nid != p_nid AND component != p_component")
+    return met.where(100 * most >= percent * least)
+
+
+def _first_pairs(state: DataFrame, chosen: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """One pivot a band: there are no more pairs than rows, so facts are fetched for the pairs.
+
+    No node has a component other than itself yet.
+    """
+    near = chosen.select("band", *[F.col(c).alias(f"p_{c}") for c in _SIDES])
+    met = _met(state, near, percent).select(
+        F.least("nid", "p_nid").alias("nid"), F.greatest("nid", "p_nid").alias("p_nid")
+    ).distinct()
+    ones = facts.select("nid", "size", "classes")
+    both = met.join(ones, "nid").join(ones.withColumnsRenamed({c: f"p_{c}" for c in ("nid", "size", "classes")}), "p_nid")
+    return both.where(100 * F.expr(_COMMON) >= percent * (F.expr("size + p_size") - F.expr(_COMMON))).select(
+        "nid", "p_nid", F.col("nid").alias("a"), F.col("p_nid").alias("b")
+    )
+
+
+def _more_pairs(state: DataFrame, chosen: DataFrame, percent: int, n_bands: int) -> DataFrame:
+    """Many pivots a band: pairs are ruled out before they are made, and made in the first band that they share."""
+    near = chosen.select("band", *[F.col(c).alias(f"p_{c}") for c in (*_SIDES, "marks", "classes")])
+    same = " ".join(f"WHEN marks[{i}] = p_marks[{i}] THEN {i}" for i in range(n_bands))
+    met = _met(state, near, percent).where(f"CASE {same} END = place")
+    near_enough = 100 * F.expr(_COMMON) >= percent * (F.expr("size + p_size") - F.expr(_COMMON))
+    sides = ("nid", "p_nid", F.col("component").alias("a"), F.col("p_component").alias("b"))
+    return met.where(near_enough).select(*sides).distinct()
