@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 # Functions travel by value: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
