@@ -276,14 +276,16 @@ def _(s):
 
 @query(
     "tuned_thresholds",
-    """SELECT r.bn_9, CAST(SUM(CASE WHEN days_since_prev >= 120 THEN 1 ELSE 0 END) AS BIGINT) AS n_reactivation,
-        COALESCE(MAX(n_spike), 0) AS n_spike_months
-    FROM {scored} r LEFT JOIN (SELECT bn_9, COUNT(*) FILTER (vol_z >= 2.5 AND n_months >= 6) AS n_spike
-        FROM {monthly} GROUP BY bn_9) m ON m.bn_9 = r.bn_9 GROUP BY r.bn_9""",
+    """SELECT r.*, COALESCE(c.n_recent_new, 0) AS recent_new_countries, COALESCE(h.n_recent_new, 0) AS recent_new_chapters
+    FROM (SELECT r.bn_9, CAST(SUM(CASE WHEN days_since_prev >= 120 THEN 1 ELSE 0 END) AS BIGINT) AS n_reactivation,
+            COALESCE(MAX(n_spike), 0) AS n_spike_months
+        FROM {scored} r LEFT JOIN (SELECT bn_9, COUNT(*) FILTER (vol_z >= 2.5 AND n_months >= 6) AS n_spike
+            FROM {monthly} GROUP BY bn_9) m ON m.bn_9 = r.bn_9 GROUP BY r.bn_9) r
+    LEFT JOIN {tuned_country} c ON c.bn_9 = r.bn_9 LEFT JOIN {tuned_chapter} h ON h.bn_9 = r.bn_9""",
 )
 def _(s):
     tuned = plan.anomaly_rollup(*_inputs(s), TUNED_ANOMALY)
-    return tuned.select("bn_9", "n_reactivation", "n_spike_months")
+    return tuned.select("bn_9", "n_reactivation", "n_spike_months", "recent_new_countries", "recent_new_chapters")
 
 
 @query("isolation_forest", "SELECT bn_9, txn_cnt, ROUND(ml_score, 6) AS ml_score, ml_outlier FROM {modelled}")

@@ -36,11 +36,11 @@ def _benford(value: str, digit: int) -> str:
         GROUP BY t.bn_9"""
 
 
-def _novelty(dim: str) -> str:
+def _novelty(dim: str, grace: int = 180) -> str:
     return f"""
         SELECT f.bn_9, COUNT(*) AS n_distinct_dim,
-            COUNT(*) FILTER (dim_first > ent_first + 180) AS n_late,
-            COUNT(*) FILTER (dim_first > ent_first + 180 AND dim_first >= ent_last - 90) AS n_recent_new
+            COUNT(*) FILTER (dim_first > ent_first + {grace}) AS n_late,
+            COUNT(*) FILTER (dim_first > ent_first + {grace} AND dim_first >= ent_last - 90) AS n_recent_new
         FROM {{first_{dim}}} f JOIN {{span}} s ON s.bn_9 = f.bn_9 GROUP BY f.bn_9"""
 
 
@@ -350,6 +350,8 @@ VIEWS: dict[str, str] = {
     "first_hs_chap_nbr": _first_seen("hs_chap_nbr"),
     "nov_country": _novelty("vendor_cntry_cde"),
     "nov_chapter": _novelty("hs_chap_nbr"),
+    "tuned_country": _novelty("vendor_cntry_cde", 90),
+    "tuned_chapter": _novelty("hs_chap_nbr", 90),
     "months": """
         SELECT bn_9, STRFTIME(arrival_date, '%Y-%m') AS ym, COUNT(*) AS n_txn FROM {txn}
         WHERE arrival_date IS NOT NULL GROUP BY ALL""",
