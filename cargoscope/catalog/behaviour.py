@@ -252,6 +252,20 @@ def _(s):
     return profile(s).select("bn_9", *RULE_FLAGS, "rule_score")
 
 
+@query(
+    "anomaly_flag_rates",
+    f"""SELECT flag, AVG(v) AS flag_rate FROM (SELECT {', '.join(RULE_FLAGS)} FROM {{profile}})
+    UNPIVOT (v FOR flag IN ({', '.join(RULE_FLAGS)})) GROUP BY flag""",
+)
+def _(s):
+    return scoring.flag_rates(profile(s), list(RULE_FLAGS))
+
+
+@query("rule_score_histogram", "SELECT rule_score, COUNT(*) AS n_entities FROM {profile} GROUP BY rule_score")
+def _(s):
+    return scoring.score_histogram(profile(s), "rule_score")
+
+
 _PROFILE = ", ".join(f"ROUND({c}, 6) AS {c}" if c in _Z else c for c in plan.PROFILE_COLUMNS)
 
 

@@ -12,6 +12,7 @@ from cargoscope.catalog.scans import precomputed
 from cargoscope.catalog.settings import CASES
 from cargoscope.operators import benford as ben
 from cargoscope.operators import cases
+from cargoscope.operators.bind import bind_columns
 from cargoscope.plans.case_matrix import case_matrix
 from cargoscope.session import materialise, shared_dir
 from cargoscope.sources.sinks import write_parquet
@@ -82,15 +83,19 @@ def _(s):
 
 @query(
     "positional_bind",
-    """SELECT a.bn, ROUND(a.statistic, 6) AS statistic_1st_digit, ROUND(b.statistic, 6) AS statistic_2nd_digit
-    FROM {ks1} a JOIN {ks2} b ON b.bn = a.bn""",
+    """SELECT bn, statistic_1st_digit, statistic_2nd_digit FROM
+    (SELECT bn, ROUND(statistic, 6) AS statistic_1st_digit, ROW_NUMBER() OVER (ORDER BY bn) AS i FROM {ks1}) a
+    JOIN (SELECT ROUND(statistic, 6) AS statistic_2nd_digit, ROW_NUMBER() OVER (ORDER BY bn) AS i FROM {ks2}) b USING (i)""",
 )
 def _(s):
+    pairs = materialise(ben.leading_pairs(_values(s), "bn", "value"))
+
     def result(test, name):
-        stats = ben.ks_statistic(_values(s), "bn", "value", test)
-        return stats.select("bn", F.round("statistic", 6).alias(name))
+        stats = ben.ks_of_pairs(pairs, "bn", test)
+        return stats.select("bn", F.round("statistic", 6).alias(name)).orderBy("bn")
 
-    return result("first", "statistic_1st_digit").join(result("first_two", "statistic_2nd_digit"), "bn")
+    second = result("first_two", "statistic_2nd_digit")
+    return bind_columns(result("first", "statistic_1st_digit"), second.select("statistic_2nd_digit"))
 
 
 @query(

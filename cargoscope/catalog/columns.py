@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cargoscope.catalog.registry import query
 from cargoscope.catalog.settings import EXCLUDED_TEXT
 from cargoscope.functions import cleaning as cl
-from cargoscope.operators import cases, release, scoring
+from cargoscope.operators import cases, release, scoring, unusable
 from cargoscope.sources import readers
 
 _LINE = "clnt_sply_req_id, line_no, l_partkey, l_suppkey"
@@ -30,6 +30,31 @@ def _(s):
     return missing.groupBy("bn_9").agg(F.count("*").alias("n_records"))
 
 
+_REASON = """CASE WHEN price_val_total IS NULL THEN 'null' WHEN TRIM(price_val_total) = '' THEN 'blank'
+    WHEN TRIM(price_val_total) = 'NULL' THEN 'mark' WHEN TRY_CAST(price_val_total AS DOUBLE) IS NULL THEN 'unreadable' END"""
+
+
+@query(
+    "missing_value_counts",
+    f"""SELECT bn_9, reason, COUNT(*) AS n_records FROM (SELECT bn_9, {_REASON} AS reason FROM {{lines_core}}) t
+    WHERE reason IS NOT NULL GROUP BY ALL""",
+)
+def _(s):
+    return unusable.unusable_counts(s["lines_core"], "price_val_total", ["bn_9"])
+
+
+@query(
+    "missing_value_sample",
+    f"""SELECT reason, n_records, sample_no, {_LINE}, price_val_total FROM (
+        SELECT *, COUNT(*) OVER (PARTITION BY reason) AS n_records,
+            CAST(ROW_NUMBER() OVER (PARTITION BY reason ORDER BY MD5(CONCAT_WS('|', {_LINE})), {_LINE}) AS INT) AS sample_no
+        FROM (SELECT {_LINE}, price_val_total, {_REASON} AS reason FROM {{lines_core}}) t WHERE reason IS NOT NULL) r
+    WHERE sample_no <= 20""",
+)
+def _(s):
+    return unusable.unusable_sample(s["lines_core"], "price_val_total", LINE)
+
+
 @query("arrival_date", f"SELECT {_LINE}, arrival_date FROM {{base}} WHERE arrival_date IS NOT NULL")
 def _(s):
     day = cl.arrival_day(F.col("actual_arrival_dttm"))
@@ -216,12 +241,18 @@ def _(s):
     return scoring.weighted_flag_sum(s.spark.sql(_WEIGHT_FLAGS, orders=s["orders"]), _WEIGHTS)
 
 
-_TOKENS = r"CAST(LEN(REGEXP_EXTRACT_ALL({c}, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')) AS INT)"
+def _tokens(column: str) -> str:
+    """Tokens by the word rule; each replacement runs twice, as its matches may share a character."""
+    joined = column
+    for before, marks, after in cases.INNER_MARKS:
+        for _ in range(2):
+            joined = f"REGEXP_REPLACE({joined}, '({before})[{marks.replace(chr(39), chr(39) * 2)}]({after})', '\\1_\\2', 'g')"
+    return rf"CAST(LEN(REGEXP_EXTRACT_ALL({joined}, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s]')) AS INT)"
 
 
 @query(
     "goods_text_stats",
-    f"SELECT doc_id, {_TOKENS.replace('{c}', 'text')} AS tokens, CAST(LENGTH(text) AS INT) AS chars FROM {{documents}}",
+    f"SELECT doc_id, {_tokens("text")} AS tokens, CAST(LENGTH(text) AS INT) AS chars FROM {{documents}}",
 )
 def _(s):
     return cases.goods_text_stats(s["documents"], "text").select("doc_id", "tokens", "chars")
@@ -230,7 +261,7 @@ def _(s):
 @query(
     "vague_description",
     f"""SELECT clnt_sply_req_id, line_no, itm_desc_txt,
-        CAST({_TOKENS.replace('{c}', 'itm_desc_txt')} < 3 AND LENGTH(itm_desc_txt) <= 13 AS INT) AS vague_description
+        CAST({_tokens("itm_desc_txt")} < 3 AND LENGTH(itm_desc_txt) <= 13 AS INT) AS vague_description
     FROM {{described_lines}}""",
 )
 def _(s):
@@ -245,7 +276,7 @@ def _(s):
 
 @query(
     "vague_bottom_quartile",
-    f"""WITH t AS (SELECT doc_id, {_TOKENS.replace('{c}', 'text')} AS tokens, CAST(LENGTH(text) AS INT) AS chars
+    f"""WITH t AS (SELECT doc_id, {_tokens("text")} AS tokens, CAST(LENGTH(text) AS INT) AS chars
         FROM {{documents}})
     SELECT doc_id, tokens, chars, CAST(tokens <= (SELECT QUANTILE_CONT(tokens, 0.25) FROM t)
         OR chars <= (SELECT QUANTILE_CONT(chars, 0.25) FROM t) AS INT) AS in_bottom_quartile FROM t""",

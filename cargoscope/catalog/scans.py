@@ -202,8 +202,9 @@ def _(s):
     def build():
         return txn_value(s["lines_core"], materialise(s.fx), RISK)
 
-    sinks.stage_table(s.spark, root, "txn_value", build)
-    return sinks.stage_table(s.spark, root, "txn_value", build)
+    made_of = {"inputs": [f"{s.folder}/{t}.parquet" for t in ("lineitem", "orders")], "settings": RISK}
+    sinks.stage_table(s.spark, root, "txn_value", build, **made_of)
+    return sinks.stage_table(s.spark, root, "txn_value", build, **made_of)
 
 
 @query("write_csv_release", f"SELECT {RELEASE_COLUMNS} FROM {{released}}")

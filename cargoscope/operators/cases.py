@@ -20,9 +20,14 @@ from cargoscope.operators.benford import benford_ks_both
 from cargoscope.operators.keys import keep_first, previous_value
 from cargoscope.session import materialise, small_side
 
-# The percentile text of the precomputed indicators, a token, and the 13 indicators.
+# The percentile text of the precomputed indicators, a token, the marks that do not end
+# a word between two letters or two digits (Unicode text segmentation), and the 13 indicators.
 TOP_QUARTILE_TEXT = "Above 75th percentile"
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
+INNER_MARKS = (
+    (r"\p{L}\p{M}*", ".:'\u00b7\u2018\u2019\u2024\u2027\ufe13\ufe52\ufe55\uff07\uff0e\uff1a", r"\p{L}"),
+    (r"\p{N}", ".,;'\u037e\u2018\u2019\u2024\ufe10\ufe14\ufe50\ufe52\ufe54\uff07\uff0c\uff0e\uff1b", r"\p{N}"),
+)
 CASE_INDICATORS = [
     "miscalculations",
     "inconsistent_values",
@@ -177,9 +182,16 @@ def natural_right_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def goods_text_stats(df: DataFrame, column: str) -> DataFrame:
-    """Tokens (words and single marks) and characters of the whole text; null counts as empty."""
+    """Tokens (words and single marks) and characters of the whole text; null counts as empty.
+
+    Apostrophes, points and the like between two letters, and decimal marks between two digits, belong
+    to the word around them: "don't" and "3.5" are one token each.
+    """
     text = F.coalesce(column, F.lit(""))
-    tokens = F.regexp_count(text, F.lit(TOKEN))
+    joined = text
+    for before, marks, after in INNER_MARKS:
+        joined = F.regexp_replace(joined, f"({before})[{marks}](?={after})", "$1_")
+    tokens = F.regexp_count(joined, F.lit(TOKEN))
     return df.withColumns({"tokens": tokens, "chars": F.char_length(text)})
 
 

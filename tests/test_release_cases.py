@@ -132,3 +132,49 @@ def test_stage_table_is_reused_until_rebuild(spark, tmp_path):
     assert sinks.stage_table(spark, root, "t", build, rebuild={"other"}).count() == 1
     assert sinks.stage_table(spark, root, "t", build, rebuild={"t"}).count() == 2
     assert len(calls) == 2
+
+
+def test_stage_follows_its_inputs_and_settings(spark, tmp_path):
+    root, source = str(tmp_path / "stages"), str(tmp_path / "in")
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(source)
+
+    def staged(settings=0.5):
+        return sinks.stage_table(spark, root, "t", build, inputs=[source], settings=settings)
+
+    spark.range(3).write.parquet(source)
+    first = staged()
+    assert (first.count(), staged().count(), len(calls)) == (3, 3, 1)
+    spark.range(2).write.mode("append").parquet(source)
+    assert (staged().count(), len(calls)) == (5, 2)
+    # The earlier stage is still there for whoever reads it.
+    assert first.count() == 3
+    assert (staged(0.7).count(), len(calls)) == (5, 3)
+    assert sinks.sweep_stages(spark, root, "t") == 2
+    assert (staged(0.7).count(), len(calls)) == (5, 3)
+    assert [spark.read.parquet(f"{root}/t/{p.name}").count() for p in (tmp_path / "stages/t").iterdir()].count(5) == 1
+    assert sinks.sweep_stages(spark, root, "t") == 0
+
+
+def test_unfinished_stage_is_built_anew(spark, tmp_path):
+    root = str(tmp_path)
+
+    def broken():
+        return spark.range(3).selectExpr("raise_error('lost') AS x")
+
+    with pytest.raises(Exception, match="lost"):
+        sinks.stage_table(spark, root, "t", broken)
+    assert sinks.stage_table(spark, root, "t", lambda: spark.range(4)).count() == 4
+
+
+def test_tokens_follow_the_word_rule(spark, rows):
+    given = {
+        "don't": 1, "o\u2019clock 3.5": 2, "1,234.56": 1, "a.b.c.d.e": 1, "U.S.A.": 2, "end. Next": 3, "3.a": 3,
+        "a,b": 3, "x:y": 1, "1:2": 3, "rock 'n' roll": 5, "e\u0301'e": 1, "a''b": 4, "": 0, "  ": 0, "a-b": 3, "snake_case": 1,
+    }
+    df = rows("t string", *[(t,) for t in given])
+    got = {r["t"]: r["tokens"] for r in cases.goods_text_stats(df, "t").collect()}
+    assert got == given
