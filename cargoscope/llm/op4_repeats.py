@@ -13,7 +13,11 @@ would multiply the text; a content-defined sample is enough:
    with the last output; a comparison starts where known prefixes end. The merge gives each string
    its longest common prefix with any other: how far an anchor's context repeats on either side.
 4. The windows that both sides allow form one span per anchor. Equal spans confirm each other; for
-   the few that are left (the best partners of the two sides differ) single windows are compared.
+   the few that are left (the best partners of the two sides differ) pieces of ``PIECE`` neighbouring
+   windows are compared: equal pieces confirm each other, and where what is common to a piece's windows
+   occurs once, none of them repeats. Single windows are compared for the rest, one piece of each kind.
+
+A stage is emptied as soon as the next one is written, so the disk holds few of them at a time.
 
 Strings are compared across ranges through the splitter, which closes the range before it as well.
 A passage that very many documents share costs each run one string. The splitters are at most
@@ -41,12 +45,14 @@ from pyspark.sql import functions as F
 from cargoscope.llm.batches import bound_batches
 from cargoscope.llm.joins import hashed_sample, sized
 from cargoscope.llm.shingles import mix
-from cargoscope.session import materialise
+from cargoscope.session import discard, materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, GRAM = 400, 16
 HALF = LENGTH // 2
+#: Window starts, by their distance to the anchor, whose common bytes are compared ahead of the windows.
+PIECE = 32
 #: Window starts handled at once; longer texts go in overlapping chunks.
 CHUNK = 1 << 20
 RUN_STRINGS, BLOCK_STRINGS, RANGE_STRINGS, SPLITTER_SAMPLE = 40_000, 64, 50_000, 40_000
@@ -358,6 +364,31 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans cut into pieces of neighbouring windows, with digests of all their bytes and of the common ones."""
+    import xxhash
+
+    for batch in batches:
+        row, pack, core, whole = [], [], [], []
+        for i, (data, packs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("data", "packs")), strict=True)):
+            for v in packs:
+                a, near, far = _unpack(v)
+                for piece in range(near // PIECE, far // PIECE + 1):
+                    first, last = piece * PIECE, piece * PIECE + PIECE - 1
+                    row.append(i)
+                    low, high = max(near, first), min(far, last)
+                    ends = (low << 10) | high
+                    pack.append((a << 20) | ends)
+                    whole.append(xxhash.xxh3_128_digest(data[a - high : a - low + LENGTH] + ends.to_bytes(3)))
+                    # Inside every window of the piece, wherever the span ends.
+                    core.append(xxhash.xxh64_intdigest(data[a - first : a - last + LENGTH], piece) - (1 << 63))
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(pack, pa.int64()), pa.array(core, pa.int64()), pa.array(whole, pa.binary())],
+            ["doc_id", "th", "pack", "core", "whole"],
+        )
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest of every window of the spans."""
     import xxhash
@@ -415,7 +446,7 @@ def _with_texts(base: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def repeated_windows(base: DataFrame) -> DataFrame:
-    """``doc_id, th, window`` of bucketed texts: repeated window starts as first * 1024 + (last - first)."""
+    """``doc_id, th, windows`` of bucketed texts: repeated window starts as first * 1024 + (last - first)."""
     bound_batches(base.sparkSession)
     kind = base.schema["doc_id"].dataType.simpleString()
     found = materialise(
@@ -423,13 +454,14 @@ def repeated_windows(base: DataFrame) -> DataFrame:
     )
     # Anchors with a half that occurs twice.
     halves = found.select("doc_id", "th", "pack", F.explode(F.array("after", "before")).alias("half")).where("half IS NOT NULL")
-    twice = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    candidates = halves.join(twice, "half").select("doc_id", "th", "pack")
+    twice = materialise(_repeated(halves, "half"))
+    candidates = halves.join(sized(twice), "half").select("doc_id", "th", "pack")
     # Sorted runs, and their merge.
     run_kind = pa.schema([("doc_id", _arrow_type(base))]).field(0).type
     shape = "side int, run long, entry int, n int, first binary, last binary, payload binary, "
     shape += f"doc_id {kind}, th long, pack long, after int, before int"
     runs = materialise(_with_texts(base, candidates).mapInArrow(_run_writer(run_kind), shape))
+    discard(found, twice)
     longest = materialise(_longest(runs))
     members = runs.where("side = -1").select("doc_id", "th", "pack", "run", "after", "before")
     right = longest.where("side = 0").select("run", F.col("entry").alias("after"), F.col("prefix").alias("right"))
@@ -444,6 +476,7 @@ def repeated_windows(base: DataFrame) -> DataFrame:
     seen = materialise(
         _with_texts(base, spans).mapInArrow(_span_rows, f"doc_id {kind}, th long, pack long, whole binary, gram long")
     )
+    discard(runs, longest)
     sizes = seen.groupBy("whole").agg(F.count(F.lit(1)).alias("n"))
     sure = seen.join(sizes.where("n > 1"), "whole").select("doc_id", "th", "pack")
     open_ = materialise(sizes.where("n = 1").join(seen, "whole").select("doc_id", "th", "pack", "gram"))
@@ -451,11 +484,31 @@ def repeated_windows(base: DataFrame) -> DataFrame:
     asked = open_.select("gram").distinct()
     one = F.min_by(F.struct("doc_id", "th", "pack"), F.xxhash64("doc_id", "th", "pack"))
     others = seen.join(asked, "gram", "left_semi").groupBy("whole").agg(one.alias("one")).select("one.*")
-    windows = materialise(_with_texts(base, others).mapInArrow(_window_rows, f"doc_id {kind}, th long, start long, digest binary"))
-    again = windows.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    single = windows.join(again, "digest").select("doc_id", "th", (F.col("start") * 1024).alias("window"))
-    whole = sure.select("doc_id", "th", F.expr("((pack >> 20) - (pack & 1023)) * 1024 + (pack & 1023) - ((pack >> 10) & 1023)").alias("window"))
-    return whole.unionByName(single).distinct()
+    pieces = materialise(
+        _with_texts(base, others).mapInArrow(_piece_rows, f"doc_id {kind}, th long, pack long, core long, whole binary")
+    )
+    one = F.min_by(F.struct("doc_id", "th", "pack"), F.xxhash64("doc_id", "th", "pack")).alias("one")
+    wholes = materialise(pieces.groupBy("whole", "core").agg(F.count(F.lit(1)).alias("n"), one))
+    alike = pieces.join(sized(wholes.where("n > 1").select("whole")), "whole").select("doc_id", "th", "pack")
+    unsure = wholes.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds"))
+    unsure = materialise(unsure.where("least = 1 AND kinds > 1").select("core"))
+    left_over = wholes.join(sized(unsure), "core").select("one.*")
+    windows = materialise(
+        _with_texts(base, left_over).mapInArrow(_window_rows, f"doc_id {kind}, th long, start long, digest binary")
+    )
+    # A window is in one piece only; copies of a row repeat each other.
+    again = materialise(_repeated(windows, "digest"))
+    single = windows.join(sized(again), "digest").select("doc_id", "th", (F.col("start") * 1024).alias("window"))
+    whole = sure.unionByName(alike).select("doc_id", "th", F.expr("((pack >> 20) - (pack & 1023)) * 1024 + (pack & 1023) - ((pack >> 10) & 1023)").alias("window"))
+    per_doc = whole.unionByName(single).groupBy("doc_id", "th").agg(F.collect_set("window").alias("windows"))
+    result = materialise(per_doc)
+    discard(seen, open_, pieces, wholes, unsure, windows, again)
+    return result
+
+
+def _repeated(rows: DataFrame, column: str) -> DataFrame:
+    """The values of a column that occur more than once."""
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column)
 
 
 def _arrow_type(base: DataFrame) -> pa.DataType:
@@ -499,7 +552,6 @@ def remove_repeats(docs: DataFrame, *, full: bool = True) -> DataFrame:
     """Per document what was removed, a digest of the remaining bytes, and those bytes (``full``)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = bucketed_texts(docs)
-    windows = repeated_windows(base).groupBy("doc_id", "th").agg(F.collect_list("window").alias("windows"))
-    joined = _joined(base, materialise(windows), "windows", "left")
+    joined = _joined(base, repeated_windows(base), "windows", "left")
     shape = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full
     return joined.select("doc_id", "data", "windows").mapInArrow(_remover(full), shape)
