@@ -33,16 +33,20 @@ class WordEncoder:
     """Token ids of texts for a tokenizer file.
 
     ``keeps_space`` says which of the two pre-tokenizers the file has: one that drops white space
-    and lower-cases, or one whose words carry the single space before them.
+    and lower-cases, or one whose words carry the single space before them. A control string of the
+    file inside a text becomes its id, as in a plain call of the tokenizer; ``control_ids=False`` reads
+    it as text.
     """
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, control_ids: bool = True):
         # Spark runs a worker per core: the library's own threads would only compete with them.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not control_ids
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.controls = [t.content for t in added if t.special] if control_ids else []
         self.keeps_space = keeps_space
         self._forget()
 
@@ -106,12 +110,39 @@ class WordEncoder:
                 parts.append(slots[offsets[i] : offsets[i + 1]])
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
 
+    def _controlled(self, texts: pa.Array) -> np.ndarray:
+        """Places of texts with a control string in any case: lower-casing words must not make one."""
+        found = np.zeros(len(texts), bool)
+        for control in self.controls:
+            found |= pc.match_substring(texts, control, ignore_case=True).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(found)
+
+    def _spliced(self, texts: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of all texts; those at ``at`` are encoded as they stand."""
+        own = [texts[int(i)].as_py() for i in at]
+        others = np.ones(len(texts), bool)
+        others[at] = False
+        slots, offsets = self._cut(pc.if_else(pa.array(others), texts, ""))
+        self._slots(list(dict.fromkeys(own)))
+        parts, last = [], 0
+        for i, slot in zip(at, self._slots(own), strict=True):
+            parts += [slots[last : offsets[i]], [slot]]
+            last = offsets[i + 1]
+        counts = np.diff(offsets)
+        counts[at] = 1
+        joined = np.concatenate([*parts, slots[last:]]).astype(np.int64)
+        return joined, np.concatenate([[0], np.cumsum(counts)])
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return (self._keeping if self.keeps_space else self._dropping)(texts)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids begin (one more at the end)."""
         if len(self.slot) > MAX_WORDS:
             self._forget()
         texts = pc.fill_null(texts, "")
-        slots, offsets = (self._keeping if self.keeps_space else self._dropping)(texts)
+        at = self._controlled(texts)
+        slots, offsets = self._spliced(texts, at) if len(at) else self._cut(texts)
         length, flat = np.array(self.length, np.int64), np.array(self.flat, np.uint32)
         start = np.cumsum(length) - length
         counts = length[slots] if len(slots) else np.zeros(0, np.int64)
@@ -120,9 +151,10 @@ class WordEncoder:
         return ids, total[offsets]
 
 
-def encoder(path: str, keeps_space: bool) -> WordEncoder:
+def encoder(path: str, keeps_space: bool, control_ids: bool = True) -> WordEncoder:
     """The worker's encoder for a tokenizer file."""
-    return kept_in_worker(f"encoder:{path}:{keeps_space}", lambda: WordEncoder(path, keeps_space))
+    name = f"encoder:{path}:{keeps_space}:{control_ids}"
+    return kept_in_worker(name, lambda: WordEncoder(path, keeps_space, control_ids))
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

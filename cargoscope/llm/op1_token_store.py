@@ -8,8 +8,10 @@ slot is the number of set bits before it) maps every key to its place without st
 constant time per key.
 
 Defined results: a null text is empty and holds the end id alone; a null key sorts first; rows with
-the same key are kept in text order and told apart by ``copy`` (0, 1, ...); an empty table gives an
-empty store. An absent key is taken for a present one with probability 2**-32.
+the same key are kept in the order of their first ``LEAD`` characters (then of the text's hash) and told
+apart by ``copy`` (0, 1, ...); an empty table gives an empty store. A key may hold any share of the rows:
+its texts are dealt over the files and its copies numbered by a segmented scan. An id that does not fit
+the width of a stored id is an error. An absent key is taken for a present one with probability 2**-32.
 
 Files go through Arrow's file systems (local, HDFS, S3, GCS) to a folder all executors share. A
 task writes under a name of its own and moves the finished file, so a repeated task replaces it
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from cargoscope.llm.batches import bound_batches, by_bytes
 from cargoscope.llm.encoding import encoder, with_end
+from cargoscope.operators.segments import positions
 from cargoscope.session import materialise, shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,6 +44,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BUCKET_KEYS = 50_000
 #: Bits per key and level; more of them make fewer levels.
 GAMMA = 2.0
+#: Leading characters by which rows with the same key are ordered and dealt to files.
+LEAD = 64
 MAX_LEVELS = 40
 
 
@@ -78,6 +83,8 @@ def _writer(folder: str, path: str, keeps_space: bool, end_id: int, id_bytes: in
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 ids, offsets = with_end(*encode(part.column("text")), end_id)
+                if len(ids) and int(ids.max()) >= 1 << (8 * id_bytes):
+                    raise ValueError(f"token id {int(ids.max())} does not fit {id_bytes} bytes")
                 if out is None:
                     out = files.open_output_stream(draft)
                 out.write(ids.astype(kind).tobytes())
@@ -223,17 +230,21 @@ def write_store(
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
+    order = [F.col("key"), F.substring("text", 1, LEAD), F.xxhash64("text")]
     laid = (
-        rows.repartitionByRange(shards, "key")
-        .sortWithinPartitions("key", "text")
+        # The salt deals equal rows over several files; rows that are alike may be in any order.
+        rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+        .repartitionByRange(shards, *order, "salt")
+        .sortWithinPartitions(*order, "text")
+        .select("key", "text")
         .mapInArrow(
             _writer(folder, tokenizer_path, keeps_space, end_id, id_bytes),
             f"key {kind}, shard int, offset long, n_tokens long",
         )
     )
     laid = materialise(laid)
-    same = Window.partitionBy("key").orderBy("shard", "offset")
-    manifest = laid.withColumn("copy", F.row_number().over(same) - 1)
+    manifest = positions(laid, ["key"], ["shard", "offset"], "copy").withColumn("copy", F.col("copy").cast("int"))
+    manifest = materialise(manifest)
     buckets = max(1, -(-laid.count() // BUCKET_KEYS))
     index = _hashed(manifest, buckets).groupBy("bucket").applyInPandas(_build, _INDEX)
     return TokenStore(folder, id_bytes, buckets, manifest, materialise(index))
@@ -294,8 +305,7 @@ def document_index(spark: SparkSession, docs: DataFrame, tokenizer_path: str, **
     """Write a store, ask it for every document, and return what its files hold."""
     store = write_store(docs, tokenizer_path, **how)
     key = how.get("key", "doc_id")
-    copies = docs.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    asked = copies.select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    asked = store.manifest.select("key", "copy")
     got = read_ids(store, lookup(store, asked), digest=True)
     return got.join(starts(store), "shard").select(
         F.col("key").alias(key),

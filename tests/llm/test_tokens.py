@@ -19,9 +19,9 @@ WORD, BYTE = tokenizer_file("word_bpe_49k.json"), tokenizer_file("byte_bpe_50k.j
 ODD = ["", " ", "\n", "a b", "It's  two", "x. Y,\nZ.\n\n q ", "é İΣ <|endoftext|>", "\x01 a\x01b ", None]
 
 
-def plain(path, texts):
+def plain(path, texts, control_ids=True):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not control_ids
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -34,6 +34,19 @@ def test_encoder_equals_whole_texts(path, keeps, texts):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == want
 
 
+CONTROLS = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "a b", "x.Y", "\n", "\x01"])
+
+
+@pytest.mark.parametrize("control_ids", [True, False])
+@pytest.mark.parametrize(("path", "keeps"), [(WORD, False), (BYTE, True)])
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.lists(CONTROLS, max_size=6).map("".join), max_size=5))
+def test_control_strings_in_texts(path, keeps, control_ids, texts):
+    ids, offsets = WordEncoder(path, keeps, control_ids).encode(pa.array([*texts, *ODD], pa.string()))
+    for i, want in enumerate(plain(path, [*texts, *ODD], control_ids)):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == want
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -54,6 +67,28 @@ def test_store_round_trip(spark):
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
 
 
+def test_store_with_a_third_of_the_rows_under_one_key(spark):
+    rows = [(7, f"text {i % 90} of a hot key", "x") for i in range(300)] + [(7, "same", "x")] * 100
+    rows += [(100 + i, f"other {i}", "x") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(6)
+    got = sorted(op1_token_store.document_index(spark, docs, WORD, end_id=1).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted(k for k, _, _ in rows)
+    want = sorted((k, crc([*ids, 1])) for (k, _, _), ids in zip(rows, plain(WORD, [t for _, t, _ in rows]), strict=True))
+    assert sorted((r["doc_id"], r["ids_crc32"]) for r in got) == want
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    # The hot key lies in several files.
+    assert len({r["shard"] for r in got if r["doc_id"] == 7}) > 1
+
+
+def test_id_too_wide_for_the_store_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "a few words here")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit 1 bytes"):
+        op1_token_store.write_store(docs, WORD, end_id=1, id_bytes=1)
+
+
 def test_store_lookup_of_absent_keys(spark):
     store = op1_token_store.write_store(documents(spark), WORD, end_id=1)
     keys = spark.createDataFrame([(2, 0), (2, 1), (99, 0), (None, 0)], "key long, copy int")
