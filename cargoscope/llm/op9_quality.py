@@ -10,8 +10,7 @@ Bounded and documented: the forest has ``TREES`` trees of ``TREE_ROWS`` rows eac
 tree's seed out of ``SAMPLE_ROWS`` documents (lowest hashes); in every tree one row for each statistic
 comes from up to ``STRATUM_ROWS`` of all documents in which it counts, so that a statistic that is
 anomalous in any document can be split, however rare it is. The flagged words, the allowances and the
-threshold come from at most ``LABELLED_ROWS`` labelled rows (lowest hashes). Statistics and scores cover all
-documents.
+threshold come from all labelled rows; statistics and scores cover all documents.
 
 Defined results: a null or empty text has 0 words and fails; without labels only the hard rules
 reject; a document labelled twice counts twice; null labels are ignored; an empty table gives no
@@ -21,7 +20,7 @@ rows.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargoscope.llm.batches import bound_batches, by_bytes, span_sums
-from cargoscope.llm.joins import hashed_sample, without
+from cargoscope.llm.joins import hashed_sample, sized, without
 from cargoscope.llm.shingles import hash_windows, hash_words, mix, split_words
+from cargoscope.operators.segments import Running, running
 from cargoscope.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TREES, TREE_ROWS, SAMPLE_ROWS, LABELLED_ROWS = 200, 256, 20_000, 20_000
+TREES, TREE_ROWS, SAMPLE_ROWS = 200, 256, 20_000
 STRATUM_ROWS = 1000
 #: A flagged word is in this share (and number) of a language's toxic labelled texts, so many times
 #: rarer in its others.
@@ -147,18 +147,17 @@ def measured(docs: DataFrame, flagged: list[str]) -> DataFrame:
 # --- labelled rows -----------------------------------------------------------------------------
 
 
-def labelled_sample(labels: DataFrame) -> DataFrame:
-    """At most ``LABELLED_ROWS`` labelled rows: those with the lowest hashes."""
-    whole = labels.select("doc_id", "quality", "toxic").dropna()
-    return hashed_sample(whole, LABELLED_ROWS, 9, "doc_id")
+def labelled_rows(labels: DataFrame) -> DataFrame:
+    """All rows with a key and both labels."""
+    return labels.select("doc_id", "quality", "toxic").dropna()
 
 
-def flagged_words(docs: DataFrame, sample: DataFrame) -> list[str]:
+def flagged_words(docs: DataFrame, labelled: DataFrame) -> list[str]:
     """Words that many toxic labelled texts of a language share and its other texts lack."""
     words = F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))
     bare = F.array_distinct(F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}]+", "")))
     language = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
-    held = docs.select("doc_id", "text", language.alias("lang")).join(F.broadcast(sample), "doc_id")
+    held = docs.select("doc_id", "text", language.alias("lang")).join(sized(labelled), "doc_id")
     sizes = held.groupBy("lang").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
     each = held.select("lang", F.explode(bare).alias("word"), "toxic").where("word != ''")
     counted = each.groupBy("lang", "word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
@@ -270,34 +269,49 @@ def scored(stats: DataFrame, trees: list[np.ndarray], rows: int) -> DataFrame:
     return stats.mapInPandas(score, shape)
 
 
-def clean_allowances(stats: DataFrame, sample: DataFrame, clean_loss: float) -> dict[str, float]:
+def clean_rows(stats: DataFrame, labelled: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the clean labelled documents that pass the hard rules."""
+    clean = sized(labelled.where("quality = 1 AND toxic = 0").select("doc_id"))
+    return stats.where("NOT base_failed").join(clean, "doc_id").select(*columns)
+
+
+def values_at(known: DataFrame, rank: Callable[[int], int]) -> dict[str, float]:
+    """Per column of ``known`` the value at the 0-based ``rank`` of its row count, in ascending order.
+
+    Equal values are counted first; running counts over range partitions then find the rank.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in known.columns])
+    counts = materialise(known.select(F.inline(pairs)).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n")))
+    rows = counts.where(F.col("name") == known.columns[0]).agg(F.sum("n")).first()[0]
+    if not rows:
+        return {}
+    upto = running(counts, ["name"], ["value"], {"upto": Running("sum", "n")})
+    found = upto.where(F.col("upto") > rank(rows)).groupBy("name").agg(F.min("value").alias("value")).collect()
+    return {r["name"]: float(r["value"]) for r in found}
+
+
+def clean_allowances(stats: DataFrame, labelled: DataFrame, clean_loss: float) -> dict[str, float]:
     """Per feature what clean labelled documents reach; at most half of ``clean_loss`` of them exceed any."""
-    clean = sample.where("quality = 1 AND toxic = 0").select("doc_id")
-    known = stats.where("NOT base_failed").join(F.broadcast(clean), "doc_id").select(*FEATURES).toPandas()
-    if known.empty:
-        return dict.fromkeys(FEATURES, 0.0)
-    return {f: float(np.quantile(known[f], 1 - clean_loss / 2 / len(FEATURES), method="higher")) for f in FEATURES}
+    share = 1 - clean_loss / 2 / len(FEATURES)
+    found = values_at(clean_rows(stats, labelled, *FEATURES), lambda n: int(np.ceil((n - 1) * share)))
+    return {f: found.get(f, 0.0) for f in FEATURES}
 
 
-def threshold(stats: DataFrame, sample: DataFrame, clean_loss: float) -> float:
+def threshold(stats: DataFrame, labelled: DataFrame, clean_loss: float) -> float:
     """The score that all but ``clean_loss`` of the clean labelled documents stay at or under."""
-    clean = sample.where("quality = 1 AND toxic = 0").select("doc_id")
-    known = stats.where("NOT base_failed").join(F.broadcast(clean), "doc_id").select("score")
-    scores = np.sort([r["score"] for r in known.collect()])
-    if not len(scores):
-        return 1.0
-    return float(scores[min(len(scores) - 1, int(np.ceil((1 - clean_loss) * len(scores))) - 1)])
+    scores = clean_rows(stats, labelled, "score")
+    return values_at(scores, lambda n: min(n - 1, int(np.ceil((1 - clean_loss) * n)) - 1)).get("score", 1.0)
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, clean_loss: float = 0.002) -> DataFrame:
     """Per document its rule statistics, ``base_failed``, ``kept``, the anomaly ``score`` and the text's hash ``th``."""
-    sample = materialise(labelled_sample(labels))
-    words = flagged_words(docs, sample)
+    labelled = materialise(labelled_rows(labels))
+    words = flagged_words(docs, labelled)
     stats = materialise(measured(docs, words))
-    allowed = clean_allowances(stats, sample, clean_loss)
+    allowed = clean_allowances(stats, labelled, clean_loss)
     stats = stats.withColumns({f: F.greatest(F.col(f) - a, F.lit(0.0)) for f, a in allowed.items()})
     judged = materialise(scored(stats, *grow_forest(stats)))
-    limit = threshold(judged, sample, clean_loss)
+    limit = threshold(judged, labelled, clean_loss)
     return judged.select(
         "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("score") <= limit)).alias("kept"), "score", "th"
     )

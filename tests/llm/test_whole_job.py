@@ -3,6 +3,7 @@
 from itertools import islice
 
 import duckdb
+import numpy as np
 
 from cargoscope.llm import op3_minmax_dedup, op6_line_dedup, op7_decontaminate, op9_quality, registry
 from tests.llm.test_text_operators import FOLDER, close, line_rows
@@ -74,6 +75,32 @@ def test_a_large_language_leaves_words_to_a_small_one(spark):
     assert set(op9_quality.flagged_words(docs, sample)) == {*many.split(), "malo", "peor"}
 
 
+def test_words_allowances_and_threshold_use_every_label(spark, monkeypatch):
+    monkeypatch.setattr(op9_quality, "LABELLED_ROWS", 6, raising=False)
+    rows = [(i, "awful words" if i % 50 == 0 else "good words", "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = [(i, 1, int(i % 50 == 0)) for i in range(400)] + [(1, 1, 0), (2, None, 0), (None, 1, 0)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    flag, level = op9_quality.flagged_words, op9_quality.threshold
+    monkeypatch.setattr(op9_quality, "flagged_words", lambda d, s: seen.append(found := flag(d, s)) or found)
+    monkeypatch.setattr(op9_quality, "threshold", lambda d, s, loss: seen.append(s.count()) or level(d, s, loss))
+    op9_quality.quality(docs, labels).collect()
+    assert seen == [["awful"], 401]
+    values = [((i * 37) % 401) / 7 for i in range(401)]
+    stats = spark.createDataFrame(
+        [(i, False, *[v * (k + 1) for k in range(6)], v) for i, v in enumerate(values)],
+        ["doc_id", "base_failed", *op9_quality.FEATURES, "score"],
+    )
+    known = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    clean = np.array(values[:400])
+    for loss in (0.002, 0.3, 0.9):
+        allowed = op9_quality.clean_allowances(stats, known, loss)
+        expected = [float(np.quantile(clean * (k + 1), 1 - loss / 12, method="higher")) for k in range(6)]
+        assert [allowed[f] for f in op9_quality.FEATURES] == expected
+        assert op9_quality.threshold(stats, known, loss) == np.sort(clean)[int(np.ceil((1 - loss) * 400)) - 1]
+
+
 # --- near duplicates ---------------------------------------------------------------------------
 
 
