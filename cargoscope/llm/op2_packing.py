@@ -36,6 +36,8 @@ from cargoscope.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Bytes of text encoded at a time: words, places and ids of a slice take many times that.
+SLICE_BYTES = 2 << 20
 #: Pieces per block in which ranks are counted.
 BLOCK_PIECES = 500_000
 
@@ -47,7 +49,7 @@ def _cutter(path: str, keeps_space: bool, end_id: int, capacity: int, with_ids:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, keeps_space).encode
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", SLICE_BYTES):
                 ids, offsets = with_end(*encode(part.column("text")), end_id)
                 total = np.diff(offsets)
                 n = -(-total // capacity)
