@@ -38,33 +38,34 @@ def txn_currency_profile(lines: DataFrame) -> DataFrame:
 def txn_value(lines: DataFrame, fx: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
     """One row per transaction: converted and declared value, currency marks and line counts.
 
-    The lines first combine map-side, in a hash aggregate, into one row per transaction,
-    importer, currency and day, for nearly every transaction a single row. All lines of such a
-    row share one rate, so the rate join and the text comparisons run on the combined rows only.
+    The rate joins each line, as a broadcast where the rates are few. The lines then combine map-side, in
+    a hash aggregate, into one row per transaction, importer and currency, for nearly every transaction a
+    single row whatever the days of its lines; the shuffles and text comparisons see those rows only.
     """
+    rates = fx.withColumn("rate_to_cad", F.col("rate_to_cad").cast(config.rate_type))
     combined = (
-        parsed_lines(lines, config)
-        .groupBy("clnt_sply_req_id", "bn_9", "ccy", "arrival_date")
-        .agg(F.sum("price_val").alias("price_val"), F.count("*").alias("n_lines"))
+        with_rate(parsed_lines(lines, config), rates, "ccy", "arrival_date")
+        .groupBy("clnt_sply_req_id", "bn_9", "ccy")
+        .agg(
+            F.max("arrival_date").alias("arrival_date"),
+            F.sum(_converted(config)).alias("converted"),
+            F.sum("price_val").alias("price_val"),
+            count_where(F.col("rate_to_cad").isNull()).alias("unrated"),
+            F.count("*").alias("n_lines"),
+        )
     )
-    rates = fx.withColumn("rate_to_cad", F.col("rate_to_cad").cast(config.rate_type))
     # Lowest and highest code tell one currency from several.
     low, high = F.min("ccy"), F.max("ccy")
     one_currency = low == high
-    unrated = F.when(F.col("rate_to_cad").isNull(), F.col("n_lines")).otherwise(0)
-    return (
-        with_rate(combined, rates, "ccy", "arrival_date")
-        .groupBy("clnt_sply_req_id")
-        .agg(
-            F.max("bn_9").alias("bn_9"),
-            F.max("arrival_date").alias("arrival_date"),
-            F.sum(_converted(config)).cast("double").alias("txn_value_cad"),
-            F.when(one_currency, F.sum("price_val")).cast("double").alias("txn_value_decl"),
-            F.when(one_currency, high).alias("decl_ccy"),
-            F.when(low < high, 1).otherwise(0).alias("is_mixed_ccy_txn"),
-            F.sum(unrated).alias("lines_fx_missing"),
-            F.sum("n_lines").alias("line_cnt"),
-        )
+    return combined.groupBy("clnt_sply_req_id").agg(
+        F.max("bn_9").alias("bn_9"),
+        F.max("arrival_date").alias("arrival_date"),
+        F.sum("converted").cast("double").alias("txn_value_cad"),
+        F.when(one_currency, F.sum("price_val")).cast("double").alias("txn_value_decl"),
+        F.when(one_currency, high).alias("decl_ccy"),
+        F.when(low < high, 1).otherwise(0).alias("is_mixed_ccy_txn"),
+        F.sum("unrated").alias("lines_fx_missing"),
+        F.sum("n_lines").alias("line_cnt"),
     )
 
 
