@@ -21,7 +21,7 @@ from cargoscope.functions.cleaning import (
     starts_with_digits,
 )
 from cargoscope.operators.keys import null_safe_join
-from cargoscope.session import small_side
+from cargoscope.session import materialise, small_side
 
 
 def section_lookup(lines: DataFrame, sections: DataFrame) -> DataFrame:
@@ -79,13 +79,19 @@ def entity_value_features(txn: DataFrame) -> DataFrame:
     return txn.groupBy("bn_9").agg(*value_aggregates())
 
 
-def line_diversity_aggregates() -> list[Column]:
+def goods_diversity_aggregates() -> list[Column]:
     code = hs6(F.col("hs_chap_nbr"), F.col("hs_hd_sfx"), F.col("hs_sbhd_sfx"))
     return [
-        F.count("*").alias("line_cnt"),
         F.countDistinct(code).alias("distinct_hs6"),
         F.countDistinct("hs_chap_nbr").alias("distinct_chapters"),
         F.countDistinct("hs_section").alias("distinct_sections"),
+    ]
+
+
+def line_diversity_aggregates() -> list[Column]:
+    return [
+        F.count("*").alias("line_cnt"),
+        *goods_diversity_aggregates(),
         F.countDistinct("vendor_name").alias("distinct_vendors"),
         F.countDistinct("vendor_cntry_cde").alias("distinct_vendor_countries"),
     ]
@@ -129,13 +135,73 @@ def entity_line_indicators(
 def entity_line_profile(
     lines: DataFrame, sections: DataFrame, basel: DataFrame, config: RiskConfig = RiskConfig()
 ) -> DataFrame:
-    """Diversity, shares and consolidator mark in a single pass over the lines."""
+    """Diversity, shares and consolidator mark in a single pass over the lines.
+
+    A line counts in three groups: its goods and country, its vendor, its importer's name. The groups, with
+    their line counts, are written; marks of a name and distinct values are taken from them, not from lines.
+    """
+    price = F.col("price_val")
     priced = lines.withColumn("price_val", clean_number(F.col("price_val_total"), config.price_type))
-    looked_up = basel_lookup(section_lookup(priced, sections), basel)
-    return looked_up.groupBy("bn_9").agg(
-        *line_diversity_aggregates(),
-        *line_share_aggregates(),
-        consolidator_mark(config).alias("is_consolidator"),
+    goods = ["hs_chap_nbr", "hs_hd_sfx", "hs_sbhd_sfx", "hs_section", "vendor_cntry_cde", "high_risk_ind"]
+    named = ["vendor_name", "importer_name"]
+    looked_up = basel_lookup(section_lookup(priced, sections), basel).select(
+        "bn_9",
+        *goods,
+        *named,
+        as_flag(is_round(price, 1000)).alias("_round_1000"),
+        as_flag(is_round(price, 100)).alias("_round_100"),
+    )
+    sets = [["bn_9", *goods], *[["bn_9", name] for name in named]]
+    groups = looked_up.groupingSets([[F.col(c) for c in s] for s in sets], "bn_9", *goods, *named).agg(
+        F.grouping("hs_chap_nbr").alias("_no_goods"),
+        F.grouping("vendor_name").alias("_no_vendor"),
+        F.grouping("importer_name").alias("_no_importer"),
+        F.count("*").alias("_n"),
+        F.sum("_round_1000").alias("_round_1000"),
+        F.sum("_round_100").alias("_round_100"),
+    )
+    groups = materialise(groups)
+    line_cnt = F.sum("_n")
+
+    def share(lines_meeting: Column) -> Column:
+        return lines_meeting.cast("double") / line_cnt.cast("double")
+
+    def numbered(name: str) -> Column:
+        return share(F.sum(F.when(starts_with_digits(F.col(name)), F.col("_n")).otherwise(0)))
+
+    by_goods = groups.where("_no_goods = 0").groupBy("bn_9").agg(
+        line_cnt.alias("line_cnt"),
+        *goods_diversity_aggregates(),
+        F.countDistinct("vendor_cntry_cde").alias("distinct_vendor_countries"),
+        share(F.sum("_round_1000")).alias("round_1000_share"),
+        share(F.sum("_round_100")).alias("round_100_share"),
+        F.max("high_risk_ind").alias("any_high_risk"),
+        share(F.sum(F.when(F.col("high_risk_ind") == 1, F.col("_n")).otherwise(0))).alias("high_risk_share"),
+    )
+    # A group per name: counting the groups with a name counts the names.
+    by_vendor = groups.where("_no_vendor = 0").groupBy("bn_9").agg(
+        F.count("vendor_name").alias("distinct_vendors"), numbered("vendor_name").alias("vendor_numbered_share")
+    )
+    by_importer = groups.where("_no_importer = 0").groupBy("bn_9").agg(
+        as_flag(F.count("importer_name") >= config.consolidator_min_names).alias("is_consolidator"),
+        numbered("importer_name").alias("importer_numbered_share"),
+    )
+    joined = null_safe_join(null_safe_join(by_goods, by_vendor, ["bn_9"]), by_importer, ["bn_9"])
+    return joined.select(
+        "bn_9",
+        "line_cnt",
+        "distinct_hs6",
+        "distinct_chapters",
+        "distinct_sections",
+        "distinct_vendors",
+        "distinct_vendor_countries",
+        "importer_numbered_share",
+        "vendor_numbered_share",
+        "round_1000_share",
+        "round_100_share",
+        "any_high_risk",
+        "high_risk_share",
+        "is_consolidator",
     )
 
 

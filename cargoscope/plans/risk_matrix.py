@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargoscope.config import FLAG_LABELS, RiskConfig
-from cargoscope.operators.benford import deviation, digit_aggregates
+from cargoscope.operators.benford import deviation, digit_aggregates, tested_digit
 from cargoscope.operators.entities import (
     entity_line_profile,
     entity_txn_indicators,
@@ -58,10 +58,11 @@ def entity_txn_profile(txn: DataFrame, config: RiskConfig = RiskConfig()) -> Dat
     """Value figures and all four digit tests from one hash aggregate over the transactions."""
     counts = [
         c
-        for prefix, (value, test, _, _) in _DIGIT_TESTS.items()
-        for c in digit_aggregates(value, test, f"_{prefix}_")
+        for prefix, (_, test, _, _) in _DIGIT_TESTS.items()
+        for c in digit_aggregates(f"_{prefix}", test, f"_{prefix}_")
     ]
-    wide = txn.groupBy("bn_9").agg(*value_aggregates(), *counts)
+    digits = {f"_{prefix}": tested_digit(value, test) for prefix, (value, test, _, _) in _DIGIT_TESTS.items()}
+    wide = txn.withColumns(digits).groupBy("bn_9").agg(*value_aggregates(), *counts)
     added = {}
     for prefix, (_, test, _, _) in _DIGIT_TESTS.items():
         n, mad = deviation(f"_{prefix}_", test)
