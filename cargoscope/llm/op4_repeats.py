@@ -17,7 +17,8 @@ would multiply the text; a content-defined sample is enough:
    windows are compared: equal pieces confirm each other, and where what is common to a piece's windows
    occurs once, none of them repeats. Single windows are compared for the rest, one piece of each kind.
 
-A stage is emptied as soon as the next one is written, so the disk holds few of them at a time.
+A stage is emptied as soon as the next one is written, so the disk holds few of them at a time. Workers
+return freed memory after each batch, run or range: one that waits for its next task holds little.
 
 Strings are compared across ranges through the splitter, which closes the range before it as well.
 A passage that very many documents share costs each run one string. The splitters are at most
@@ -42,7 +43,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargoscope.llm.batches import bound_batches
+from cargoscope.llm.batches import bound_batches, give_back
 from cargoscope.llm.joins import hashed_sample, sized
 from cargoscope.llm.shingles import mix
 from cargoscope.session import discard, materialise
@@ -121,6 +122,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [part.column("doc_id").take(at), part.column("th").take(at), pa.array(np.concatenate(pack)), *keys],
                 ["doc_id", "th", "pack", "after", "before"],
             )
+        give_back()
 
 
 # --- sorted runs -------------------------------------------------------------------------------
@@ -195,8 +197,11 @@ def _run_writer(kind: pa.DataType):
                     if len(members) >= RUN_STRINGS:
                         yield from flush(run, members, tables)
                         run, members, tables = run + 1, [], ({}, {})
+                        give_back()
         if members:
             yield from flush(run, members, tables)
+            members, tables = [], ({}, {})
+        give_back()
 
     return write
 
@@ -231,6 +236,7 @@ def _splitter(splitters: list[list[bytes]]):
                     if a < b:
                         rows.append((side, part, run, entry + a, b - a, encode_block(list(strings[a:b]), list(counts[a:b]))))
             yield _batch(rows, shape)
+        give_back()
 
     return deal
 
@@ -313,7 +319,10 @@ def _merger(pdf: pd.DataFrame) -> pd.DataFrame:
         out_prefix.append(len(string) if count > 1 else shared)
         taken[i] += 1
     side = np.full(len(out_run), pdf["side"].iloc[0], np.int32)
-    return pd.DataFrame({"side": side, "run": out_run, "entry": out_entry, "prefix": out_prefix})
+    merged = pd.DataFrame({"side": side, "run": out_run, "entry": out_entry, "prefix": out_prefix})
+    del runs, names, out_run, out_entry, out_prefix
+    give_back()
+    return merged
 
 
 def _stream(blocks: list[tuple[bytes, int]]) -> Iterator[tuple[bytes, int, int]]:
@@ -362,6 +371,7 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(pack, pa.int64()), pa.array(whole, pa.binary()), pa.array(gram, pa.int64())],
             ["doc_id", "th", "pack", "whole", "gram"],
         )
+        give_back()
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,6 +397,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(pack, pa.int64()), pa.array(core, pa.int64()), pa.array(whole, pa.binary())],
             ["doc_id", "th", "pack", "core", "whole"],
         )
+        give_back()
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,6 +418,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(start, pa.int64()), pa.array(digest, pa.binary())],
             ["doc_id", "th", "start", "digest"],
         )
+        give_back()
 
 
 def bucketed_texts(docs: DataFrame) -> DataFrame:
@@ -544,6 +556,7 @@ def _remover(full: bool):
                 columns.append(pa.array(kept_bytes, pa.binary()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names)
+            give_back()
 
     return remove
 
