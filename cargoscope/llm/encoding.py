@@ -7,7 +7,9 @@ that. The ids are those of encoding the whole text; only the work is shared betw
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 from array import array
 
@@ -28,6 +30,14 @@ _CUT = "\x01"
 _LETTER_TAIL = "([A-Za-z])([.,;:!?])"
 _LINE_BREAK = "([.,;:!?])\n([A-Za-z])"
 
+#: Pre-tokenizers that leave a word of letters whole, and normalizers that leave lower-case ones of Latin 1 alone.
+_LETTERS_WHOLE = (
+    r" ?\p{L}+",  # the library's own pattern, where a file says only that it is used
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
+_LETTERS_KEPT = ("NFC", "Lowercase", "Replace")
+_LOWER_WORD, _WORD = re.compile("[a-zß-öø-ÿ]+"), re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
 
 class WordEncoder:
     """Token ids of texts for a tokenizer file.
@@ -48,30 +58,88 @@ class WordEncoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.controls = [t.content for t in added if t.special] if control_ids else []
         self.keeps_space = keeps_space
+        self.plain, self.plain_word = self._for_letters(path, keeps_space)
+        # A control string that leaves what stands beside it alone can part words in a joint call.
+        plain = [t for t in added if t.special and control_ids and not (t.lstrip or t.rstrip or t.single_word)]
+        self.parting = plain[0].content if plain else None
+        self.parting_id = self.tokenizer.token_to_id(self.parting) if plain else None
         self._forget()
 
+    def _for_letters(self, path: str, keeps_space: bool):
+        """A tokenizer for words of letters, and those words' pattern; None if the file's steps are not known.
+
+        It has the file's model only: normalizing such a word and looking for pieces in it changes nothing,
+        yet takes longer than its merges.
+        """
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        steps = json.loads(self.tokenizer.to_str())
+        normal, pre = steps["normalizer"], steps["pre_tokenizer"] or {}
+        changes = [] if normal is None else normal.get("normalizers", [normal])
+        splits = pre.get("pretokenizers", [pre])
+        pattern = splits[0].get("pattern", {}).get("Regex") if splits[0].get("type") == "Split" else None
+        level = splits[-1]
+        if level.get("use_regex") and len(splits) == 1:
+            pattern = _LETTERS_WHOLE[0]
+        blanks = all(c["type"] != "Replace" or c.get("pattern") == {"Regex": r"\s+"} for c in changes)
+        known = pattern in _LETTERS_WHOLE and level.get("type") == "ByteLevel" and not level.get("add_prefix_space")
+        known = known and len(splits) <= 2 and blanks and all(c["type"] in _LETTERS_KEPT for c in changes)
+        if not known or keeps_space == bool(changes):
+            return None, None
+        bare = Tokenizer.from_file(path)
+        bare.encode_special_tokens = self.tokenizer.encode_special_tokens
+        bare.normalizer = normalizers.Sequence([])
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return bare, _WORD if keeps_space else _LOWER_WORD
+
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
         self.flat, self.length = array("I"), array("q")
+        # Whether a word ends, and whether it begins, so that white space beside it may join it.
+        self.ends, self.begins = bytearray(), bytearray()
+
+    def _encoded(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has.
+
+        Words go through the tokenizer in one text, parted by a control string: a call per word costs
+        several times what its ids do. Where that cannot be told apart, words go one by one.
+        """
+        if self.parting is not None:
+            joint = tokenizer.encode_batch_fast([self.parting.join(words)], add_special_tokens=False)[0]
+            ids = np.array(joint.ids, np.uint32)
+            parting = ids == self.parting_id
+            at = np.flatnonzero(parting)
+            if len(at) == len(words) - 1:
+                return ids[~parting], np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+        each = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
 
     def _slots(self, words: list[str]) -> np.ndarray:
         """The words' slots; new words are encoded and get one."""
-        new = [w for w in words if w not in self.slot]
-        for first in range(0, len(new), 20_000):
-            part = new[first : first + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.slot[word] = len(self.length)
-                self.length.append(len(ids := e.ids))
-                self.flat.extend(ids)
+        new = list(dict.fromkeys([w for w in words if w not in self.slot]))
+        if self.plain is None:
+            kinds = [(self.tokenizer, new)]
+        else:
+            letters = [w for w in new if self.plain_word.fullmatch(w)]
+            others = [w for w in new if not self.plain_word.fullmatch(w)]
+            kinds = [(self.plain, letters), (self.tokenizer, others)]
+        for tokenizer, own in kinds:
+            for first in range(0, len(own), 20_000):
+                part = own[first : first + 20_000]
+                ids, counts = self._encoded(tokenizer, part)
+                self.slot.update(zip(part, range(len(self.length), len(self.length) + len(part)), strict=True))
+                self.length.frombytes(counts.astype(np.int64).tobytes())
+                self.flat.frombytes(ids.tobytes())
+                if self.keeps_space:
+                    self.ends += bytes([p[-1:].isspace() for p in part])
+                    self.begins += bytes([p == " " or p[:2].isspace() for p in part])
         return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
 
     def _dropping(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _LETTER_TAIL, r"\1 \2"))
         coded = lists.flatten().dictionary_encode()
-        words = [w.lower() if w.isascii() else w for w in coded.dictionary.to_pylist()]
-        distinct = list(dict.fromkeys(words))
-        self._slots(distinct)
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        words = pc.if_else(pc.string_is_ascii(coded.dictionary), pc.ascii_lower(coded.dictionary), coded.dictionary)
+        slots = self._slots(words.to_pylist())
         return slots[coded.indices.to_numpy()], lists.offsets.to_numpy().astype(np.int64)
 
     def _keeping(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +153,9 @@ class WordEncoder:
         known, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         slots = self._slots(known)[at]
         # Where white space meets white space, a token may cross: those texts are joined up again.
-        ends = np.fromiter((p[-1:].isspace() for p in known), bool, len(known))
-        begins = np.fromiter((p == " " or p[:2].isspace() for p in known), bool, len(known))
         meet = np.zeros(len(at) + 1, bool)
-        meet[1:-1] = ends[at[:-1]] & begins[at[1:]]
+        ends, begins = (np.frombuffer(bytes(marks), bool) for marks in (self.ends, self.begins))
+        meet[1:-1] = ends[slots[:-1]] & begins[slots[1:]]
         meet[offsets[:-1]] = False
         odd = whole.copy()
         odd[np.searchsorted(offsets, np.flatnonzero(meet), side="right") - 1] = True
