@@ -12,18 +12,21 @@ import os
 import re
 import sys
 from array import array
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-from cargoscope.llm.batches import kept_in_worker, ranges
+from cargoscope.llm.batches import give_back, kept_in_worker, ranges
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words a worker remembers before it starts over; bounds its memory, not the result.
+#: Words a worker remembers before it drops those it has met once; bounds its memory, not the result.
 MAX_WORDS = 600_000
+#: Words encoded in one call: the library keeps each token's text and places until the call ends.
+JOINT_WORDS = 10_000
 
 #: Marks cuts inside a text; texts that hold it themselves are encoded as they stand.
 _CUT = "\x01"
@@ -63,6 +66,7 @@ class WordEncoder:
         plain = [t for t in added if t.special and control_ids and not (t.lstrip or t.rstrip or t.single_word)]
         self.parting = plain[0].content if plain else None
         self.parting_id = self.tokenizer.token_to_id(self.parting) if plain else None
+        self.words = MAX_WORDS
         self._forget()
 
     def _for_letters(self, path: str, keeps_space: bool):
@@ -73,8 +77,9 @@ class WordEncoder:
         """
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        steps = json.loads(self.tokenizer.to_str())
-        normal, pre = steps["normalizer"], steps["pre_tokenizer"] or {}
+        whole = self.tokenizer
+        normal, pre = (x and json.loads(x.__getstate__()) for x in (whole.normalizer, whole.pre_tokenizer))
+        pre = pre or {}
         changes = [] if normal is None else normal.get("normalizers", [normal])
         splits = pre.get("pretokenizers", [pre])
         pattern = splits[0].get("pattern", {}).get("Regex") if splits[0].get("type") == "Split" else None
@@ -86,18 +91,42 @@ class WordEncoder:
         known = known and len(splits) <= 2 and blanks and all(c["type"] in _LETTERS_KEPT for c in changes)
         if not known or keeps_space == bool(changes):
             return None, None
-        bare = Tokenizer.from_file(path)
-        bare.encode_special_tokens = self.tokenizer.encode_special_tokens
+        # Both share one model in memory, where the file's pieces keep their ids that way.
+        bare, added = Tokenizer(whole.model), whole.get_added_tokens_decoder()
+        bare.add_tokens([t for _, t in sorted(added.items())])
+        if {i: repr(t) for i, t in bare.get_added_tokens_decoder().items()} != {i: repr(t) for i, t in added.items()}:
+            bare = Tokenizer.from_file(path)
+        bare.encode_special_tokens = whole.encode_special_tokens
         bare.normalizer = normalizers.Sequence([])
         bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         return bare, _WORD if keeps_space else _LOWER_WORD
 
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
-        self.flat, self.length = array("I"), array("q")
+        # All words' ids one after the other, and where each word's begin (one more at the end).
+        self.flat, self.start = array("I"), array("q", [0])
+        # Whether a word was met in a later call than its first.
+        self.again = bytearray()
         # Whether a word ends, and whether it begins, so that white space beside it may join it.
         self.ends, self.begins = bytearray(), bytearray()
 
+    def _thin(self) -> None:
+        """Only words that were met again stay; all go if those are many."""
+        keep = np.flatnonzero(np.frombuffer(self.again, np.uint8))
+        if len(keep) > self.words * 3 // 4:
+            return self._forget()
+        words = list(compress(self.slot, self.again))
+        start, flat = np.array(self.start, np.int64), np.array(self.flat, np.uint32)
+        ends, begins = self.ends, self.begins
+        self._forget()
+        counts = np.diff(start)[keep]
+        self.slot = dict(zip(words, range(len(words)), strict=True))
+        self.flat.frombytes(flat[ranges(start[keep], counts)].tobytes())
+        self.start.frombytes(np.cumsum(counts, dtype=np.int64).tobytes())
+        self.again = bytearray(len(words))
+        if self.keeps_space:
+            self.ends, self.begins = (bytearray(np.frombuffer(x, np.uint8)[keep].tobytes()) for x in (ends, begins))
+
     def _encoded(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and how many each has.
 
@@ -114,8 +143,14 @@ class WordEncoder:
         each = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
 
+    def rest(self) -> None:
+        """At the end of a task: a worker that waits for its next one keeps only words met again."""
+        self._thin()
+        give_back()
+
     def _slots(self, words: list[str]) -> np.ndarray:
         """The words' slots; new words are encoded and get one."""
+        known = len(self.slot)
         new = list(dict.fromkeys([w for w in words if w not in self.slot]))
         if self.plain is None:
             kinds = [(self.tokenizer, new)]
@@ -124,16 +159,19 @@ class WordEncoder:
             others = [w for w in new if not self.plain_word.fullmatch(w)]
             kinds = [(self.plain, letters), (self.tokenizer, others)]
         for tokenizer, own in kinds:
-            for first in range(0, len(own), 20_000):
-                part = own[first : first + 20_000]
+            for first in range(0, len(own), JOINT_WORDS):
+                part = own[first : first + JOINT_WORDS]
                 ids, counts = self._encoded(tokenizer, part)
-                self.slot.update(zip(part, range(len(self.length), len(self.length) + len(part)), strict=True))
-                self.length.frombytes(counts.astype(np.int64).tobytes())
+                self.slot.update(zip(part, range(len(self.slot), len(self.slot) + len(part)), strict=True))
+                self.start.frombytes((np.cumsum(counts, dtype=np.int64) + len(self.flat)).tobytes())
                 self.flat.frombytes(ids.tobytes())
                 if self.keeps_space:
                     self.ends += bytes([p[-1:].isspace() for p in part])
                     self.begins += bytes([p == " " or p[:2].isspace() for p in part])
-        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        self.again += bytes(len(new))
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        np.frombuffer(self.again, np.uint8)[slots[slots < known]] = 1
+        return slots
 
     def _dropping(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _LETTER_TAIL, r"\1 \2"))
@@ -154,8 +192,7 @@ class WordEncoder:
         slots = self._slots(known)[at]
         # Where white space meets white space, a token may cross: those texts are joined up again.
         meet = np.zeros(len(at) + 1, bool)
-        ends, begins = (np.frombuffer(bytes(marks), bool) for marks in (self.ends, self.begins))
-        meet[1:-1] = ends[slots[:-1]] & begins[slots[1:]]
+        meet[1:-1] = np.frombuffer(self.ends, bool)[slots[:-1]] & np.frombuffer(self.begins, bool)[slots[1:]]
         meet[offsets[:-1]] = False
         odd = whole.copy()
         odd[np.searchsorted(offsets, np.flatnonzero(meet), side="right") - 1] = True
@@ -205,23 +242,25 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids begin (one more at the end)."""
-        if len(self.slot) > MAX_WORDS:
-            self._forget()
+        if len(self.slot) > self.words:
+            self._thin()
         texts = pc.fill_null(texts, "")
         at = self._controlled(texts)
         slots, offsets = self._spliced(texts, at) if len(at) else self._cut(texts)
-        length, flat = np.array(self.length, np.int64), np.array(self.flat, np.uint32)
-        start = np.cumsum(length) - length
-        counts = length[slots] if len(slots) else np.zeros(0, np.int64)
-        ids = flat[ranges(start[slots], counts)] if len(slots) else np.zeros(0, np.uint32)
+        start = np.frombuffer(self.start, np.int64)
+        first = start[slots]
+        counts = start[slots + 1] - first
+        ids = np.frombuffer(self.flat, np.uint32)[ranges(first, counts)] if len(slots) else np.zeros(0, np.uint32)
         total = np.concatenate([[0], np.cumsum(counts)])
         return ids, total[offsets]
 
 
-def encoder(path: str, keeps_space: bool, control_ids: bool = True) -> WordEncoder:
-    """The worker's encoder for a tokenizer file."""
+def encoder(path: str, keeps_space: bool, control_ids: bool = True, words: int = MAX_WORDS) -> WordEncoder:
+    """The worker's encoder for a tokenizer file, which remembers about ``words`` words from now on."""
     name = f"encoder:{path}:{keeps_space}:{control_ids}"
-    return kept_in_worker(name, lambda: WordEncoder(path, keeps_space, control_ids))
+    own = kept_in_worker(name, lambda: WordEncoder(path, keeps_space, control_ids))
+    own.words = words
+    return own
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -77,12 +77,12 @@ def _writer(folder: str, path: str, keeps_space: bool, end_id: int, id_bytes: in
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open(folder)
         shard = TaskContext.get().partitionId()
-        encode = encoder(path, keeps_space).encode
+        own = encoder(path, keeps_space)
         draft = f"{root}/_draft-{shard:06d}-{uuid4().hex}"
         at, out = 0, None
         for batch in batches:
             for part in by_bytes(batch, "text"):
-                ids, offsets = with_end(*encode(part.column("text")), end_id)
+                ids, offsets = with_end(*own.encode(part.column("text")), end_id)
                 if len(ids) and int(ids.max()) >= 1 << (8 * id_bytes):
                     raise ValueError(f"token id {int(ids.max())} does not fit {id_bytes} bytes")
                 if out is None:
@@ -102,6 +102,7 @@ def _writer(folder: str, path: str, keeps_space: bool, end_id: int, id_bytes: in
         if out is not None:
             out.close()
             files.move(draft, _shard(root, shard))
+        own.rest()
 
     return write
 

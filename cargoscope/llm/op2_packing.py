@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoscope.llm.batches import bound_batches, by_bytes
-from cargoscope.llm.encoding import encoder, with_end
+from cargoscope.llm.encoding import MAX_WORDS, encoder, with_end
 from cargoscope.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -45,33 +45,36 @@ BLOCK_PIECES = 500_000
 # --- pieces ------------------------------------------------------------------------------------
 
 
-def _cutter(path: str, keeps_space: bool, end_id: int, capacity: int, with_ids: bool):
+def _cutter(path: str, keeps_space: bool, end_id: int, capacity: int, with_ids: bool, slice_bytes: int, words: int):
+    def pieces_of(part: pa.RecordBatch, ids: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        total = np.diff(offsets)
+        n = -(-total // capacity)
+        row = np.repeat(np.arange(len(total)), n)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        head = total - (n - 1) * capacity  # the first piece takes what is over
+        start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
+        length = np.where(piece == 0, head[row], capacity)
+        raw, first = memoryview(ids.astype("<u4", copy=False)).cast("B"), (offsets[row] + start) * 4
+        spans = [raw[a : a + 4 * k] for a, k in zip(first.tolist(), length.tolist(), strict=True)]
+        columns = [
+            part.column("doc_id").take(pa.array(row)),
+            pa.array(piece.astype(np.int32)),
+            pa.array(start),
+            pa.array(length),
+            pa.array([zlib.crc32(x) for x in spans], pa.int64()),
+        ]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if with_ids:
+            columns.append(pa.array([bytes(x) for x in spans], pa.binary()))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, keeps_space).encode
+        own = encoder(path, keeps_space, words=words)
         for batch in batches:
-            for part in by_bytes(batch, "text", SLICE_BYTES):
-                ids, offsets = with_end(*encode(part.column("text")), end_id)
-                total = np.diff(offsets)
-                n = -(-total // capacity)
-                row = np.repeat(np.arange(len(total)), n)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                head = total - (n - 1) * capacity  # the first piece takes what is over
-                start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
-                length = np.where(piece == 0, head[row], capacity)
-                raw, first = memoryview(ids.astype("<u4").tobytes()), (offsets[row] + start) * 4
-                spans = [raw[a : a + 4 * k] for a, k in zip(first.tolist(), length.tolist(), strict=True)]
-                columns = [
-                    part.column("doc_id").take(pa.array(row)),
-                    pa.array(piece.astype(np.int32)),
-                    pa.array(start),
-                    pa.array(length),
-                    pa.array([zlib.crc32(x) for x in spans], pa.int64()),
-                ]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.array([bytes(x) for x in spans], pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+            for part in by_bytes(batch, "text", slice_bytes):
+                yield pieces_of(part, *with_end(*own.encode(part.column("text")), end_id))
+        own.rest()
 
     return cut
 
@@ -84,13 +87,19 @@ def pieces(
     keeps_space: bool,
     capacity: int,
     with_ids: bool = False,
+    slice_bytes: int = SLICE_BYTES,
+    words: int = MAX_WORDS,
 ) -> DataFrame:
-    """One row per piece of every document, with its ids if asked for."""
+    """One row per piece of every document, with its ids if asked for.
+
+    ``slice_bytes`` of text are encoded at a time and about ``words`` words are remembered: they bound a
+    worker's memory, not the result.
+    """
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(
-        _cutter(tokenizer_path, keeps_space, end_id, capacity, with_ids), shape
+        _cutter(tokenizer_path, keeps_space, end_id, capacity, with_ids, slice_bytes, words), shape
     )
 
 
@@ -241,11 +250,13 @@ def pack(
     keeps_space: bool = True,
     capacity: int = 2048,
     with_ids: bool = False,
+    slice_bytes: int = SLICE_BYTES,
+    words: int = MAX_WORDS,
 ) -> DataFrame:
     """Pieces of all documents with their ``sequence_id`` and ``offset`` there."""
     spark = docs.sparkSession
-    cut = pieces(docs, tokenizer_path, end_id=end_id, keeps_space=keeps_space, capacity=capacity, with_ids=with_ids)
-    cut = materialise(cut)
+    how = {"end_id": end_id, "keeps_space": keeps_space, "capacity": capacity, "slice_bytes": slice_bytes, "words": words}
+    cut = materialise(pieces(docs, tokenizer_path, with_ids=with_ids, **how))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(histogram.values())
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_PIECES))

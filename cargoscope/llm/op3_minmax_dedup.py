@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cargoscope.llm.batches import bound_batches
 from cargoscope.llm.components import components
 from cargoscope.llm.joins import same_doc, sized, whole_rows
 from cargoscope.llm.shingles import mix, odd_numbers, sets_of
-from cargoscope.session import discard, materialise
+from cargoscope.session import discard, empty_frame, materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -236,7 +237,7 @@ def _linked(nodes: DataFrame, texts: DataFrame, percent: int, width: int, n_band
     numbers, inner = facts.select("nid", "size", "own", "weight"), facts.select("nid", "marks", "classes")
     waiting = materialise(meeting.drop("n").join(numbers, "nid"))
     discard(meeting, weight)
-    labels = nodes.sparkSession.createDataFrame([], "nid long, component long")
+    labels = empty_frame(nodes.sparkSession, StructType.fromDDL("nid long, component long"))
     read = [waiting]
     for turn, pivots in enumerate(_rounds()):
         state = waiting.join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid"))

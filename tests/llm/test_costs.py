@@ -7,9 +7,10 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from cargoscope.llm import op4_repeats, op6_line_dedup
-from cargoscope.llm.encoding import WordEncoder
+from cargoscope.llm import op2_packing, op4_repeats, op6_line_dedup
+from cargoscope.llm.encoding import WordEncoder, encoder
 from cargoscope.llm.registry import tokenizer_file
+from cargoscope.session import discard, materialise
 
 FILES = [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)]
 
@@ -74,3 +75,36 @@ def test_workers_return_memory_after_each_batch(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 1]), pa.array(data)], ["doc_id", "th", "data"])
     assert sum(b.num_rows for b in op4_repeats._anchor_rows(iter([batch, batch])))
     assert len(calls) == 2
+
+
+@pytest.mark.parametrize("name, keeps", FILES)
+def test_words_met_once_go_first_and_ids_stay(name, keeps):
+    own, whole = encoder(tokenizer_file(name), keeps, words=40), Tokenizer.from_file(tokenizer_file(name))
+    texts = [" ".join(f"w{i}x{k} often été," for k in range(10)) for i in range(30)] + ["<|endoftext|> a", None]
+    for _ in range(2):
+        for text in texts:
+            ids, offsets = own.encode(pa.array([text], pa.string()))
+            assert ids.tolist() == whole.encode(text or "", add_special_tokens=False).ids and offsets.tolist() == [0, len(ids)]
+            assert len(own.slot) <= 40 + 40
+    assert any("often" in w for w in own.slot)
+    own.rest()
+    assert len(own.slot) <= 40 and len(own.start) == len(own.slot) + 1 == len(own.again) + 1
+    assert len(own.flat) == own.start[-1]
+
+
+def test_packing_does_not_depend_on_what_workers_remember(spark):
+    docs = [(i, " ".join(f"word{i * k} and" for k in range(50 * i))) for i in range(20)] + [(20, None), (None, "a b")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    file = tokenizer_file("byte_bpe_50k.json")
+    own = {"end_id": 0, "keeps_space": True, "capacity": 64}
+    few = op2_packing.pieces(docs, file, slice_bytes=100, words=20, **own).collect()
+    assert sorted(map(str, few)) == sorted(map(str, op2_packing.pieces(docs, file, **own).collect()))
+
+
+def test_stages_are_emptied_without_python_workers(spark, monkeypatch):
+    stage = materialise(spark.range(5).selectExpr("id", "array(id) AS `a b`", "map('x', id) AS m"))
+    path = stage._stage_path
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *_: pytest.fail("an empty list goes through Python workers"))
+    discard(stage)
+    left = spark.read.parquet(path)
+    assert left.dtypes == stage.dtypes and left.count() == 0
