@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoscope.functions.cleaning import PRICE_KINDS, joined_lines, price_kind
@@ -16,6 +16,8 @@ from cargoscope.sources.schemas import (
     ITEM_KEYS,
 )
 
+#: Written stages hold repeated key texts: this codec writes a third less than the session's.
+STAGE_CODEC = "zstd"
 # One released record per item of a client submission.
 RECORD_KEYS = ["clnt_sply_req_id", "cmrc_invc_nbr", "gagi_nbr", "gds_itm_nbr"]
 # One item of a declaration, whatever its version.
@@ -76,7 +78,7 @@ def release_assembly(x: dict[str, DataFrame]) -> DataFrame:
         ("shipment", DECLARATION_KEYS),
     ]
     goods = x["goods_source"]
-    goods.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    _join_in_place(goods)
     out = goods.repartition(*DECLARATION_KEYS)
     for name, keys in steps:
         out = out.join(x[name], list(keys), "left")
@@ -162,9 +164,8 @@ def _first_rows(df: DataFrame, keys, order: list[str], filled: list[str], plain:
 def wide_prices(price: DataFrame) -> DataFrame:
     """Currency of the first price row and both price kinds, one row per item."""
     order = ["price_tcde", "price_val"]
-    # Rows without a whole key join nothing; dealt by item once, rows of a code and codes of an item meet in place.
-    dealt = price.dropna(subset=list(ITEM_KEYS)).repartition(*ITEM_KEYS)
-    one_per_code = keep_first(dealt, [*ITEM_KEYS, "price_tcde"], [F.asc(c) for c in order])
+    # Dealt once, rows of a code and codes of an item meet in place.
+    one_per_code = keep_first(_dealt(price, ITEM_KEYS), [*ITEM_KEYS, "price_tcde"], [F.asc(c) for c in order])
     coded = one_per_code.withColumn("_kind", price_kind(F.col("price_tcde")))
     position = F.struct(*order)
     return coded.groupBy(*ITEM_KEYS).agg(
@@ -180,13 +181,12 @@ def wide_prices(price: DataFrame) -> DataFrame:
 
 def wide_parties(party: DataFrame, codes: DataFrame, descriptions: list[str]) -> DataFrame:
     """One row per declaration with its parties side by side."""
-    one_per_code = keep_first(party, [*DECLARATION_KEYS, "pty_tcde"], [F.asc("pty_id")])
+    dealt = _dealt(concat_name_address(party), DECLARATION_KEYS)
+    one_per_code = keep_first(dealt, [*DECLARATION_KEYS, "pty_tcde"], [F.asc("pty_id")])
     described = party_description_join(
         one_per_code.withColumn("pty_code", F.col("pty_tcde")), codes
     )
-    return pivot_party_type(
-        concat_name_address(described), list(DECLARATION_KEYS), descriptions
-    )
+    return pivot_party_type(described, list(DECLARATION_KEYS), descriptions)
 
 
 #: Columns that a submission's first declaration takes from the next one that has them.
@@ -219,40 +219,51 @@ def wanted_declarations(x: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+POSITION = [*DECLARATION_KEYS, "cntry_orig_cde", "ste_orig_cde"]
+
+
 def declared_records(x: dict[str, DataFrame]) -> DataFrame:
-    """Bare rows of the latest versions, one per record and declaration that holds it, with goods and root columns."""
-    marked = x["goods_source"].withColumn("_goods", F.lit(True))
-    goods = materialise(marked.join(x["root"], list(DECLARATION_KEYS), "right"))
-    named = F.count("clnt_sply_req_id")
-    items = goods.groupBy(*ITEM).agg(
-        F.max("req_vers_nbr").alias("_newest"), ((named > 0) & (named < F.count(F.lit(1)))).alias("_partly")
+    """Bare rows of the latest versions, one per record and declaration that holds it, with goods and root columns.
+
+    Versions of a declaration share its request number: dealt by that number once, goods and root meet, and the
+    newest version and the first row of each record are found in place.
+    """
+    _join_in_place(x["root"])
+    marked = x["goods_source"].withColumn("_goods", F.lit(True)).dropna(subset=list(DECLARATION_KEYS))
+    goods = marked.repartition("drv_req_nbr").join(
+        x["root"].repartition("drv_req_nbr"), list(DECLARATION_KEYS), "right"
     )
-    newest = materialise(null_safe_join(goods, items, ITEM).where(F.col("req_vers_nbr").eqNullSafe(F.col("_newest"))))
+    item = Window.partitionBy(*ITEM)
+    named = F.count("clnt_sply_req_id").over(item)
     # Only items that name their submission in some rows and not in others have anything to fill.
+    seen = goods.withColumns(
+        {
+            "_newest": F.max("req_vers_nbr").over(item),
+            "_partly": (named > 0) & (named < F.count(F.lit(1)).over(item)),
+        }
+    )
+    newest = seen.where(F.col("req_vers_nbr").eqNullSafe(F.col("_newest"))).drop("_newest")
+    other = [c for c in DECLARATION_KEYS if c not in RECORD_KEYS]
+    # Rows to fill stay apart until they are filled: each may pass its submission on.
+    apart = newest.withColumn("_own", F.when(F.col("_partly"), F.struct("cntry_orig_cde", "ste_orig_cde")))
+    order = [F.asc(c) for c in POSITION]
+    first = materialise(keep_first(apart, [*RECORD_KEYS, *other, "_own"], order).drop("_own"), STAGE_CODEC)
     rest = [c for c in DECLARATION_KEYS if c not in ITEM]
     partly = fill_down_up(
-        newest.where("_partly"), ITEM, rest, ["cntry_orig_cde", "ste_orig_cde"], ["clnt_sply_req_id"]
+        first.where("_partly"), ITEM, rest, ["cntry_orig_cde", "ste_orig_cde"], ["clnt_sply_req_id"]
     )
-    filled = newest.where("NOT _partly").unionByName(partly).drop("_newest", "_partly")
-    other = [c for c in DECLARATION_KEYS if c not in RECORD_KEYS]
-    return keep_first(filled, [*RECORD_KEYS, *other], [F.asc(c) for c in POSITION])
+    filled = materialise(keep_first(partly, [*RECORD_KEYS, *other], order), STAGE_CODEC)
+    return first.where("NOT _partly").unionByName(filled).drop("_partly")
 
 
-POSITION = [*DECLARATION_KEYS, "cntry_orig_cde", "ste_orig_cde"]
+def _join_in_place(df: DataFrame) -> None:
+    """Joins on more keys than the rows are dealt by leave them where they are."""
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
-def _merged(first: DataFrame, others: DataFrame, side: DataFrame, keys, columns: list[str]) -> DataFrame:
-    """``first`` with a side's columns: its own declaration's, else those of the record's next one that has them.
-
-    ``others`` holds the rows of records with several declarations only.
-    """
-    own = first.join(side.select(*keys, *columns), list(keys), "left")
-    position = F.struct(*[F.col(c) for c in POSITION])
-    found = others.join(side.select(*keys, *columns), list(keys)).groupBy(*RECORD_KEYS).agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_m_{c}") for c in columns]
-    )
-    joined = null_safe_join(own, found, RECORD_KEYS, "left")
-    return joined.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+def _dealt(df: DataFrame, keys) -> DataFrame:
+    """Rows with a whole key, dealt by declaration: rows without one join nothing, finer keys lie within."""
+    return df.dropna(subset=list(keys)).repartition(*DECLARATION_KEYS)
 
 
 def release_wide(
@@ -261,10 +272,10 @@ def release_wide(
     """One wide record per item of each client submission, from its latest version.
 
     Parties, prices and repeated rows fan out against each other when joined first and reshaped
-    afterwards. Here the latest version and each record's first declaration are found on bare keys;
-    every extract is reduced to one row at its own key level and joined to that one row. A submission may
-    hold several declarations: prices and parties that its first one lacks come from the next that has
-    them, which concerns records with several declarations only.
+    afterwards. Here the latest version is found on bare keys; rows and extracts are dealt by
+    declaration once, where every extract is reduced to one row at its own key level and joined in place.
+    A submission may hold several declarations: prices and parties that its first one lacks come from
+    the next that has them. Only records with several declarations are shuffled for that.
 
     ``columns`` names what is read of the result; extracts that add none of these are never touched.
     """
@@ -272,34 +283,37 @@ def release_wide(
     if columns is not None:
         unread = [c for c in x["root"].columns if c not in (*DECLARATION_KEYS, *RECORD_KEYS, *columns)]
         x["root"] = x["root"].drop(*unread)
-    rows = materialise(declared_records(x))
-    out = keep_first(rows, RECORD_KEYS, [F.asc(c) for c in POSITION])
+    rows = declared_records(x)
     read = set(columns) if columns is not None else None
 
     def asked(names: list[str]) -> list[str]:
         return [c for c in names if read is None or c in read]
 
     several = rows.groupBy(*RECORD_KEYS).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    several = small_side(materialise(several.withColumn("_several", F.lit(True)), STAGE_CODEC))
+    flagged = null_safe_join(rows, several, RECORD_KEYS, "left")
+    out = flagged.withColumn("_several", F.col("_several").isNotNull()).repartition(*DECLARATION_KEYS)
     parties = {party_column(v, d): d for v in PARTY_VALUES for d in descriptions}
     prices_read, parties_read = asked(PRICE_COLUMNS), asked(list(parties))
-    if prices_read or parties_read:
-        others = materialise(null_safe_join(rows, several, RECORD_KEYS))
     for name, (keys, order, known) in _SIDES.items():
         if taken := asked([c for c in x[name].columns if c not in keys]):
-            side = _first_rows(x[name], keys, order, [c for c in taken if c in known], [c for c in taken if c not in known])
+            dealt = _dealt(x[name], keys)
+            side = _first_rows(dealt, keys, order, [c for c in taken if c in known], [c for c in taken if c not in known])
             joined = out.join(side, list(keys), "left")
             # A root without goods gets nothing but its own columns.
             out = joined.withColumns({c: F.when(F.col("_goods"), F.col(c)) for c in taken} if keys == DECLARATION_KEYS else {})
-    price = wide_prices(x["price"])
-    if currency := asked(["price_crncy_cde"]):
-        out = out.join(price.select(*ITEM_KEYS, *currency), list(ITEM_KEYS), "left")
-    if prices_read:
-        out = _merged(out, others, price, ITEM_KEYS, prices_read)
+    if priced := [*asked(["price_crncy_cde"]), *prices_read]:
+        out = out.join(wide_prices(x["price"]).select(*ITEM_KEYS, *priced), list(ITEM_KEYS), "left")
     if parties_read:
         described = [d for d in descriptions if d in {parties[c] for c in parties_read}]
         # Not for a root without goods: its mark is null and joins nothing.
         party = wide_parties(x["party"], codes, described).withColumn("_goods", F.lit(True))
-        out = _merged(out, others, party, [*DECLARATION_KEYS, "_goods"], parties_read)
-    out = out.drop("_goods")
+        keys = [*DECLARATION_KEYS, "_goods"]
+        out = out.join(party.select(*keys, *parties_read), keys, "left")
+    merged = [*prices_read, *parties_read]
+    plain = [c for c in out.columns if c not in (*RECORD_KEYS, *merged, "_goods", "_several")]
+    chosen = [*RECORD_KEYS, *plain, *merged]
+    together = _first_rows(out.where("_several"), RECORD_KEYS, POSITION, merged, plain)
+    out = out.where("NOT _several").select(*chosen).unionByName(together)
     trimmed = trim_columns(out, [c for c in ("clnt_sply_req_id", "class_cde") if c in out.columns])
     return trimmed if columns is None else trimmed.select(*columns)
