@@ -3,9 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from cargoscope.operators import keys
 from cargoscope.operators import release as rel
 from cargoscope.sources.schemas import DECLARATION_KEYS, EXTRACTS, ITEM_KEYS
+from cargoscope.sources.starschema import Star
 
 _TYPES = {"req_vers_nbr": "int", "price_val": "double", "unit_cnt": "double", "itm_char_sqnbr": "int"}
 
@@ -36,8 +39,10 @@ def _item(number, version=1, item="1", **more):
 def test_rows_and_extracts_are_dealt_by_declaration_once(spark, codes):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        wide = rel.release_wide(_extracts(spark), codes, ["BROKER", "IMPORTER"])
-        plan = wide._jdf.queryExecution().executedPlan().toString()
+        x = _extracts(spark)
+        wide = rel.release_wide(x, codes, ["BROKER"], [*rel.RECORD_KEYS, "class_cde", "unit_cnt", "invc_tamt", *rel.PRICE_COLUMNS])
+        party = rel.wide_parties(x["party"], codes, ["BROKER"])
+        plan = "\n".join(df._jdf.queryExecution().executedPlan().toString() for df in (wide, party))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     dealt = [re.sub(r"#\d+", "", k).split(", ")[:-1] for k in re.findall(r"Exchange hashpartitioning\((.*)\), ", plan)]
@@ -89,3 +94,62 @@ def test_the_newest_version_stands_and_submissions_are_filled(spark, codes):
         [("s", "A", 2, "1", "1"), (None, "A", 2, "2", "2"), ("old", "A", 1, "1", "3"), (None, "B", 1, "1", "1"), ("n", None, 1, "1", None)],
         key=str,
     )
+
+
+def test_a_long_list_of_declarations_still_filters_the_extracts(spark, codes, monkeypatch):
+    monkeypatch.setattr(rel, "BROADCAST_ROW_LIMIT", 1)
+    listed = [f"D{i}" for i in range(40)]
+    x = _extracts(
+        spark,
+        root=[_declaration(d, clnt_sply_req_id=d) for d in listed] + [_declaration(None)],
+        price=[_item(f"D{i}", price_tcde="66", price_val=1.0) for i in range(400)] + [_item(None)],
+    )
+    kept = [r.drv_req_nbr for r in rel.wanted_declarations(x)["price"].collect()]
+    assert {*listed} <= {*kept} and len(kept) < 100
+    # An extract with another type of key hashes otherwise: it goes on whole.
+    other = x | {"price": x["price"].withColumn("req_vers_nbr", F.col("req_vers_nbr").cast("long"))}
+    assert rel.wanted_declarations(other)["price"].count() == 401
+
+
+def test_a_short_list_of_ids_goes_below_aggregates(spark, rows):
+    lines = rows("ax_clnt_nbr long, n int", (1, 5), (2, 6), (None, 7), (1, 8))
+    ids = rows("entity_id long", (1,), (3,), (None,))
+    summed = lines.groupBy("ax_clnt_nbr").agg(F.sum("n").alias("n"))
+    found = rel.in_list(summed, F.broadcast(ids), "ax_clnt_nbr")
+    assert [tuple(r) for r in found.collect()] == [(1, 13)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Filter" not in plan.split("Aggregate")[0]
+    assert rel.in_list(lines, rows("entity_id string", ("1",)), "ax_clnt_nbr").count() == 2
+
+
+def test_invoice_extracts_meet_their_declaration_where_they_are_grouped(spark):
+    star = Star(spark, "")
+    columns = f"{', '.join(ITEM_KEYS)}, o_orderkey, partkey, suppkey, shipdate, qty, price".split(", ")
+    star._built["decl_items"] = rows = spark.createDataFrame([], ", ".join(f"{c} {'date' if c == 'shipdate' else 'int'}" for c in columns))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rel._join_in_place(rows)
+        for name in ("package_qty", "invoice", "invoice_country"):
+            joined = rows.repartition(*DECLARATION_KEYS).join(star[f"x_{name}"], list(rel.INVOICE_KEYS))
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_segments_are_not_shuffled_again(spark, rows):
+    df = rows("k string, t int, v int", *[("a", t, t * t) for t in range(50)], (None, 1, 7), ("b", 3, None), ("b", 4, 1))
+    found = keys.previous_value(df, ["k"], F.lit(0), ["t"], "v", "prev")
+    got = {(r.k, r.t): r.prev for r in found.collect()}
+    assert got == {("a", t): (t - 1) ** 2 if t else None for t in range(50)} | {(None, 1): None, ("b", 3): None, ("b", 4): None}
+    plan = found.select("v", "prev")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_seg#" not in plan
+
+
+def test_a_key_bitmap_denies_no_listed_key(rows):
+    listed = rows("k string, n int", *[(str(i), i) for i in range(300)], (None, 1), ("x", None))
+    bitmap = keys.KeyBitmap.of(listed, ["k", "n"])
+    assert bitmap.marked(listed, ["k", "n"], "in").where("in").count() == 302
+    others = rows("k string, n int", *[(str(i), i + 1) for i in range(300)], (None, None))
+    assert bitmap.marked(others, ["k", "n"], "in").where("in").count() < 60
+    assert keys.KeyBitmap.of(listed.limit(0), ["k", "n"]).marked(others, ["k", "n"], "in").where("in").isEmpty()
