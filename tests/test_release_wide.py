@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from cargoscope.catalog import cases as catalog_cases
 from cargoscope.operators import keys
 from cargoscope.operators import release as rel
 from cargoscope.sources.schemas import DECLARATION_KEYS, EXTRACTS, ITEM_KEYS
@@ -153,3 +154,17 @@ def test_a_key_bitmap_denies_no_listed_key(rows):
     others = rows("k string, n int", *[(str(i), i + 1) for i in range(300)], (None, None))
     assert bitmap.marked(others, ["k", "n"], "in").where("in").count() < 60
     assert keys.KeyBitmap.of(listed.limit(0), ["k", "n"]).marked(others, ["k", "n"], "in").where("in").isEmpty()
+
+
+def test_the_case_matrix_reads_written_lines(spark, rows, monkeypatch):
+    lines = rows("importer_id string, n int", ("1", 1)).join(rows("importer_id string, m int", ("1", 2)), "importer_id")
+    given = []
+    monkeypatch.setattr(catalog_cases, "released", lambda s, *columns: lines)
+    monkeypatch.setattr(catalog_cases, "precomputed", lambda s: lines)
+    monkeypatch.setattr(catalog_cases, "case_matrix", lambda *frames: given.extend(frames))
+    star = type("S", (dict,), {"basel": lines})(accounting=lines, exports=lines, one_to_one_list=lines)
+    catalog_cases.matrix(star)
+    accounting, release = given[0], given[2]
+    for df in (accounting, release):
+        assert [tuple(r) for r in df.collect()] == [("1", 1, 2)]
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
